@@ -67,9 +67,11 @@ def text_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data, offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = WHITE, fold: np.ndarray = RAW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = WHITE, fold: np.ndarray = RAW, stem: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all texts: (first byte, end byte, 64-bit hash, number of the text), in order.
 
+    With ``stem`` the hash is that of the first ``stem`` bytes of a longer word.
+
     A word is a longest run of bytes not in ``gap`` inside one text. ``fold`` gives the value of each byte that is hashed.
     """
     n = len(data)
@@ -100,9 +102,10 @@ def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = WHITE, fold:
             total[0] = 0
             np.cumsum(fold[data[base:stop]] * power[: stop - base], out=total[1:])
             f = first[at:upto] - base
-            hashes[at:upto] = (total[end[at:upto] - base] - total[f]) * inverse[f]
+            e = end[at:upto] - base
+            hashes[at:upto] = (total[np.minimum(e, f + stem) if stem else e] - total[f]) * inverse[f]
             at = upto
-        hashes = mix(hashes ^ (end - first).astype(np.uint64))
+        hashes = mix(hashes ^ (np.minimum(end - first, stem) if stem else end - first).astype(np.uint64))
     text = np.searchsorted(offsets, first, "right") - 1
     return first, end, hashes, text
 

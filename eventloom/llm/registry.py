@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe, exact_dedup, minhash, mixing, toxicity
+from eventloom.llm import bpe, embedding_dedup, exact_dedup, licenses, minhash, mixing, pii, secrets, substring, toxicity
 from eventloom.llm.common import documents
 
 #: Relative weights of the named sources; the others have 1.
@@ -17,10 +17,22 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), MIX_WEIGHTS, copies="copy")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir), exact_dedup.new_index(spark))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.spans(documents(spark, sf_dir))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(documents(spark, sf_dir))
 
@@ -31,16 +43,29 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_checked(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_substring": op5_substring,
     "op6_minhash": op6_minhash,
     "op7_toxicity": op7_toxicity,
+    "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
+    "op10_licenses": op10_licenses,
 }
 
 SQL: dict[str, str] = {
@@ -58,6 +83,19 @@ FROM drawn""",
 SELECT doc_id, text, lang, source, n_chars FROM (
   SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) AS place FROM documents)
 WHERE text IS NULL OR place = 1""",
+    "op4_embedding_dedup": """
+SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cosine
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9""",
+    "op5_substring": """
+WITH words AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\x0b\f\r\x1c-\x1f]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+places AS (SELECT doc_id, w, unnest(range(len(w) - 49)) AS word FROM words WHERE len(w) >= 50),
+wins AS (SELECT doc_id, word, md5(array_to_string(w[word + 1 : word + 50], ' ')) AS h FROM places),
+twice AS (SELECT h FROM wins GROUP BY h HAVING min(doc_id) < max(doc_id)),
+found AS (SELECT DISTINCT doc_id, word FROM wins WHERE h IN (SELECT h FROM twice)),
+starts AS (SELECT *, CASE WHEN word <= lag(word) OVER (PARTITION BY doc_id ORDER BY word) + 50 THEN 0 ELSE 1 END AS fresh FROM found),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY word) AS island FROM starts)
+SELECT doc_id, min(word)::INTEGER AS begin_word, (max(word) + 50)::INTEGER AS end_word FROM islands GROUP BY doc_id, island""",
 }
 
 
@@ -71,6 +109,3 @@ def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     return SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
-
-
-

@@ -1,11 +1,11 @@
 """Toxicity severity by cumulative-link ordinal regression over sparse word features.
 
 P(grade > k | x) = sigmoid(w.x - t_k) for ordered thresholds t_0 <= t_1 <= ...; every threshold shares the weights w. The expected severity
-of a text is the sum of these probabilities. Features are log(1 + count) of the words that go with toxic labels (64-bit hashes, no
-dictionary).
+of a text is the sum of these probabilities. Features are log(1 + count) of the words, and of the
+``STEM``-byte stems of longer words, that go with toxic labels (64-bit hashes, no dictionary).
 
-The labels table has only 0 or 1. Grades are made from it: 0 for clean ones; toxic ones get 1, 2 or 3 by the terciles of the share of their
-words that are feature words (1 if none is).
+The labels table has only 0 or 1. Grades are made from it: 0 for clean ones; toxic ones get 1, 2 or 3 by the terciles of how many of their
+words are feature words (1 if none is).
 
 Defined cases: a null or empty text has no features and gets the severity of a text without toxic words; null labels or ids are not trained
 on; without toxic or without clean labels the model has no features and every severity is 0; repeated rows are scored alike, each; texts are
@@ -27,6 +27,18 @@ from eventloom.llm.common import arrow_batches, narrow
 from eventloom.session import unused
 
 GRADES = 3
+#: Min-hashes that tell near copies among the labelled rows.
+MINS = 6
+#: Bytes of a word's stem, a feature beside the word.
+STEM = 6
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of each word and of each stem of a longer word."""
+    first, end, words, text = K.words(data, offsets, K.PUNCT, K.LOWER)
+    long = end - first > STEM
+    _, _, stems, _ = K.words(data, offsets, K.PUNCT, K.LOWER, STEM)
+    return np.concatenate([words, ~stems[long]]), np.concatenate([text, text[long]])
 
 
 @dataclass
@@ -47,7 +59,7 @@ class OrdinalModel:
         n = len(offsets) - 1
         if not len(self.words):
             return np.zeros(n)
-        _, _, hashes, text = K.words(data, offsets, K.PUNCT, K.LOWER)
+        hashes, text = features(data, offsets)
         maybe = np.zeros(1 << 16, bool)
         maybe[(self.words >> np.uint64(48)).astype(np.int64)] = True
         hit = np.flatnonzero(maybe[(hashes >> np.uint64(48)).astype(np.int64)])
@@ -88,8 +100,8 @@ def _fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np
     return params[:p], params[p] + np.concatenate([[0.0], np.cumsum(np.exp(params[p + 1 :]))])
 
 
-def fit_counts(doc: np.ndarray, word: np.ndarray, count: np.ndarray, total: np.ndarray, toxic: np.ndarray, least_g2: float = 24.0, l2: float = 1e-3, steps: int = 300) -> OrdinalModel:
-    """Fit to word counts: ``doc``, ``word``, ``count`` in parallel; ``total`` words and ``toxic`` label of each document."""
+def fit_counts(doc: np.ndarray, word: np.ndarray, count: np.ndarray, toxic: np.ndarray, least_g2: float = 24.0, l2: float = 1e-4, steps: int = 400) -> OrdinalModel:
+    """Fit to word counts: ``doc``, ``word``, ``count`` in parallel; ``toxic`` is the label of each document."""
     n, n1 = len(toxic), int(toxic.sum())
     if not n1 or n1 == n or not len(word):
         return OrdinalModel()
@@ -106,16 +118,32 @@ def fit_counts(doc: np.ndarray, word: np.ndarray, count: np.ndarray, total: np.n
     where[chosen] = np.arange(len(chosen))
     keep = where[index] >= 0
     rows, cols, vals = doc[keep], where[index[keep]], np.log1p(count[keep])
-    density = np.bincount(rows, count[keep], n) / np.maximum(total, 1)
+    hits = np.bincount(rows, count[keep], n)
     grade = toxic.astype(np.int64)
-    graded = (toxic == 1) & (density > 0)
+    graded = (toxic == 1) & (hits > 0)
     if graded.any():
-        low, high = np.quantile(density[graded], [1 / 3, 2 / 3])
-        grade[graded] = 1 + (density[graded] > low) + (density[graded] > high)
+        low, high = np.quantile(hits[graded], [1 / 3, 2 / 3])
+        grade[graded] = 1 + (hits[graded] > low) + (hits[graded] > high)
     weights, thresholds = _fit_ordinal(rows, cols, vals, grade, len(chosen), l2, steps)
     return OrdinalModel(vocabulary[chosen], weights, thresholds)
 
 
+def distinct(rows: pa.Table) -> list[int]:
+    """Rows that are no (near) copy of another: of those that share a min-hash of their word pairs one is trained on, whatever the rows' order.
+
+    Else the words of a passage that was copied often would pass for signs of its label.
+    """
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    mins = rows["mins"].to_pylist()
+    for i in sorted(range(len(mins)), key=lambda i: (mins[i], rows["y"][i].as_py())):
+        mine = set(enumerate(mins[i]))
+        if not mine & seen:
+            kept.append(i)
+        seen |= mine
+    return kept
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, seed: int = 7) -> OrdinalModel:
     """Fit to at most ``max_labelled`` labelled rows (those of the smallest hash of id and seed), the bound of what reaches the driver."""
     arrow_batches(docs.sparkSession)
@@ -130,30 +158,37 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, seed: int
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, "_t"):
             data, offsets = K.text_parts(batch.column(1))
-            _, _, hashes, text = K.words(data, offsets, K.PUNCT, K.LOWER)
+            hashes, text = features(data, offsets)
             order = np.lexsort((hashes, text))
             h, t = hashes[order], text[order]
             new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])) if len(h) else np.zeros(0, np.int64)
             ends = np.searchsorted(t[new], np.arange(len(offsets)))
             of = pa.array(ends, pa.int32())
             c = np.diff(np.append(new, len(h)))
+            mins = np.full((len(offsets) - 1, MINS), np.uint64(K.MASK))
+            _, _, hashes, text = K.words(data, offsets, K.PUNCT, K.LOWER)
+            pairs = K.rolling(hashes, 2)
+            with np.errstate(over="ignore"):
+                for k in range(MINS):
+                    np.minimum.at(mins[:, k], text[: len(pairs)], K.mix(pairs + np.uint64(k + 1)))
             yield pa.record_batch(
-                [batch.column(2), pa.array(np.bincount(text, minlength=len(offsets) - 1), pa.int64()), pa.ListArray.from_arrays(of, pa.array(h[new].view(np.int64))), pa.ListArray.from_arrays(of, pa.array(c, pa.int64()))],
-                names=["y", "total", "words", "counts"],
+                [batch.column(2), pa.ListArray.from_arrays(of, pa.array(h[new].view(np.int64))), pa.ListArray.from_arrays(of, pa.array(c, pa.int64())), pa.array(list(mins.view(np.int64)), pa.list_(pa.int64()))],
+                names=["y", "words", "counts", "mins"],
             )
 
     rows = narrow(docs).join(F.broadcast(sample), "_k").select("_k", "_t", "_y")
-    got = rows.mapInArrow(counts, "y int, total long, words array<long>, counts array<long>").toArrow().combine_chunks()
+    got = rows.mapInArrow(counts, "y int, words array<long>, counts array<long>, mins array<long>").toArrow()
     if not got.num_rows:
         return OrdinalModel()
-    y, total = got["y"].to_numpy().astype(np.int64), got["total"].to_numpy()
+    got = got.take(pa.array(distinct(got))).combine_chunks()
+    y = got["y"].to_numpy().astype(np.int64)
     lists = [got[c].combine_chunks() for c in ("words", "counts")]
     lists = [pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in lists]
     doc = np.repeat(np.arange(len(y)), lists[0].value_lengths().to_numpy())
     word, count = (x.flatten().to_numpy() for x in lists)
     # rows come in any order; the sums behind the fit should not depend on it
     order = np.lexsort((word, doc))
-    return fit_counts(doc[order], word[order].view(np.uint64), count[order], total, y)
+    return fit_counts(doc[order], word[order].view(np.uint64), count[order], y)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", reject_from: float = 0.5) -> DataFrame:
