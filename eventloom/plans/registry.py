@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from eventloom.plans import q_sequences
+
+MODULES = [q_sequences]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
