@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.plans import q_sequences
+from eventloom.plans import q_population, q_sequences
 
-MODULES = [q_sequences]
+MODULES = [q_sequences, q_population]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
