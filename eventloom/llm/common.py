@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,15 @@ def without(docs: DataFrame, drop: DataFrame, key: Column, name: str) -> DataFra
 
 
 __all__ = ["ARROW_ROWS", "BROADCAST_ROWS", "arrow_batches", "documents", "narrow", "small_enough", "stored", "without"]
+
+
+def apart(found: list[tuple]) -> list[tuple]:
+    """Of tuples with begin and end at 1 and 2, best first, those that overlap no better one; in order of begin."""
+    kept: list[tuple] = []
+    begins: list[int] = []
+    for f in found:
+        at = bisect.bisect_left(begins, f[2])
+        if not at or kept[at - 1][2] <= f[1]:
+            kept.insert(at, f)
+            begins.insert(at, f[1])
+    return kept

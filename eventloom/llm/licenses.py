@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import arrow_batches, narrow
+from eventloom.llm.common import apart, arrow_batches, narrow
 
 #: Short notices by license, in lower case.
 NOTICES = {
@@ -84,11 +84,7 @@ class Finder:
                 while m := self.patterns[name].search(lower, at, min(high, len(lower))):
                     found.append((name, m.start(), m.end(), sum(m.fuzzy_counts)))
                     at = max(m.end(), at + 1)
-        kept: list[tuple[str, int, int, int]] = []
-        for f in sorted(found, key=lambda f: (f[3] / len(self.notices[f[0]]), f[1] - f[2], f[1], f[0])):
-            if all(f[2] <= k[1] or k[2] <= f[1] for k in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: f[1])
+        return apart(sorted(found, key=lambda f: (f[3] / len(self.notices[f[0]]), f[1] - f[2], f[1], f[0])))
 
 
 @lru_cache(maxsize=4)

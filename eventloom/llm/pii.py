@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import kernels as K
-from eventloom.llm.common import arrow_batches, narrow
+from eventloom.llm.common import apart, arrow_batches, narrow
 from eventloom.session import unused
 
 NEAR = 40
@@ -104,11 +104,7 @@ def spans(text: str, least: float = 0.5) -> list[tuple[str, int, int, float]]:
     for m in PHONE.finditer(text):
         if 7 <= sum(c.isdigit() for c in m[0]) <= 15:
             add("phone", *m.span())
-    kept: list[tuple[str, int, int, float]] = []
-    for s in sorted((s for s in found if s[3] >= least), key=lambda s: (-s[3], s[1] - s[2], s[1], s[0])):
-        if all(s[2] <= k[1] or k[2] <= s[1] for k in kept):
-            kept.append(s)
-    return sorted(kept, key=lambda s: s[1])
+    return apart(sorted((s for s in found if s[3] >= least), key=lambda s: (-s[3], s[1] - s[2], s[1], s[0])))
 
 
 DIGIT_OR_AT = np.zeros(256, bool)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import kernels as K
-from eventloom.llm.common import arrow_batches, narrow
+from eventloom.llm.common import apart, arrow_batches, narrow
 
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 TOKEN = re.compile(r"(?<![\w.-])(eyJ[\w-]{8,})\.([\w-]{4,})\.([\w-]*)(?![\w-])", re.A)
@@ -170,11 +170,7 @@ def findings(text: str) -> list[tuple[str, int, int, str]]:
         data = unbase64(value, url="-" in value or "_" in value)
         if data and varied(data) and re.search("[0-9]", value) and re.search("[a-z]", value) and re.search("[A-Z]", value):
             found.append(("assigned_base64", *m.span(2), f"{len(data)} bytes"))
-    kept: list[tuple[str, int, int, str]] = []
-    for f in sorted(found, key=lambda f: (f[1] - f[2], f[1], f[0])):
-        if all(f[2] <= k[1] or k[2] <= f[1] for k in kept):
-            kept.append(f)
-    return sorted(kept, key=lambda f: f[1])
+    return apart(sorted(found, key=lambda f: (f[1] - f[2], f[1], f[0])))
 
 
 BREAK = np.ones(256, bool)
