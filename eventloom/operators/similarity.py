@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import vectors as V
+from eventloom.session import reach
 
 BLOCK = 4096
 PACKED = "ids array<long>, kinds array<string>, width int, data binary"
@@ -34,6 +35,7 @@ def packed(df: DataFrame, key: str, vector: str, kind: str | None = None, block:
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
                 yield pa.record_batch([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), pa.array([width], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["ids", "kinds", "width", "data"])
 
+    reach(df.sparkSession)
     tag = F.col(kind).cast("string") if kind else F.lit("")
     rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), tag.alias("t"), F.col(vector).cast("array<double>").alias("v"))
     return rows.mapInArrow(run, PACKED)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,14 @@ def local_session(app: str = "eventloom", cores: str = "*", shuffle_partitions:
     return spark
 
 
+def reach(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver has it, whatever folder they are started in."""
+    root, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    have = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in have:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *have])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
