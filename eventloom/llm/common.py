@@ -7,14 +7,15 @@ import bisect
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.session import BROADCAST_ROWS, small_enough, stored
+from eventloom.session import BROADCAST_ROWS, reach, small_enough, stored
 
 #: Rows of an Arrow batch: texts can be long, so batches hold fewer rows than Spark's default.
 ARROW_ROWS = 2000
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Lower the rows of an Arrow batch to ``ARROW_ROWS`` if the session has more."""
+    """Lower the rows of an Arrow batch to ``ARROW_ROWS`` if the session has more, and let the workers find this package."""
+    reach(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
@@ -39,9 +40,6 @@ def without(docs: DataFrame, drop: DataFrame, key: Column, name: str) -> DataFra
     return kept
 
 
-__all__ = ["ARROW_ROWS", "BROADCAST_ROWS", "arrow_batches", "documents", "narrow", "small_enough", "stored", "without"]
-
-
 def apart(found: list[tuple]) -> list[tuple]:
     """Of tuples with begin and end at 1 and 2, best first, those that overlap no better one; in order of begin."""
     kept: list[tuple] = []
@@ -52,3 +50,6 @@ def apart(found: list[tuple]) -> list[tuple]:
             kept.insert(at, f)
             begins.insert(at, f[1])
     return kept
+
+
+__all__ = ["ARROW_ROWS", "BROADCAST_ROWS", "apart", "arrow_batches", "documents", "narrow", "small_enough", "stored", "without"]
