@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 MASK = (1 << 64) - 1
-BASE = 0x9E3779B97F4A7C15 | 1
+GOLD = 0x9E3779B97F4A7C15
+BASE = GOLD | 1
 #: Bytes of text that are worked on at once; a longer text is cut at word ends, never truncated.
 PIECE = 1 << 20
 
@@ -67,11 +68,9 @@ def text_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data, offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = WHITE, fold: np.ndarray = RAW, stem: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = WHITE, fold: np.ndarray = RAW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all texts: (first byte, end byte, 64-bit hash, number of the text), in order.
 
-    With ``stem`` the hash is that of the first ``stem`` bytes of a longer word.
-
     A word is a longest run of bytes not in ``gap`` inside one text. ``fold`` gives the value of each byte that is hashed.
     """
     n = len(data)
@@ -103,13 +102,27 @@ def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = WHITE, fold:
             np.cumsum(fold[data[base:stop]] * power[: stop - base], out=total[1:])
             f = first[at:upto] - base
             e = end[at:upto] - base
-            hashes[at:upto] = (total[np.minimum(e, f + stem) if stem else e] - total[f]) * inverse[f]
+            hashes[at:upto] = (total[e] - total[f]) * inverse[f]
             at = upto
-        hashes = mix(hashes ^ (np.minimum(end - first, stem) if stem else end - first).astype(np.uint64))
+        hashes = mix(hashes ^ (end - first).astype(np.uint64))
     text = np.searchsorted(offsets, first, "right") - 1
     return first, end, hashes, text
 
 
+def stems(data: np.ndarray, first: np.ndarray, end: np.ndarray, sizes: tuple[int, ...], fold: np.ndarray = RAW) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of the word) of the first bytes of each word that is longer, for each of ``sizes`` (8 at most), in that order."""
+    out, of = [], []
+    for size in sizes:
+        word = np.flatnonzero(end - first > size)
+        packed = np.full(len(word), size, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(size):
+                packed = packed * np.uint64(257) + fold[data[first[word] + k]]
+            out.append(mix(packed * np.uint64(GOLD)))
+        of.append(word)
+    return np.concatenate(out), np.concatenate(of)
+
+
 _QPOW: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 

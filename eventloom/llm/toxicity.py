@@ -1,8 +1,8 @@
 """Toxicity severity by cumulative-link ordinal regression over sparse word features.
 
 P(grade > k | x) = sigmoid(w.x - t_k) for ordered thresholds t_0 <= t_1 <= ...; every threshold shares the weights w. The expected severity
-of a text is the sum of these probabilities. Features are log(1 + count) of the words, and of the
-``STEM``-byte stems of longer words, that go with toxic labels (64-bit hashes, no dictionary).
+of a text is the sum of these probabilities. Features are log(1 + count) of the words, and of the stems (the first ``STEMS`` bytes) of longer
+words, that go with toxic labels (64-bit hashes, no dictionary). Words and stems are counted in Spark; the driver gets the chosen ones only.
 
 The labels table has only 0 or 1. Grades are made from it: 0 for clean ones; toxic ones get 1, 2 or 3 by the terciles of how many of their
 words are feature words (1 if none is).
@@ -14,31 +14,55 @@ scored whole whatever their length. Columns that an output would repeat keep the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import kernels as K
-from eventloom.llm.common import arrow_batches, narrow
+from eventloom.llm.common import arrow_batches, narrow, stored
 from eventloom.session import unused
 
 GRADES = 3
 #: Min-hashes that tell near copies among the labelled rows.
 MINS = 6
-#: Bytes of a word's stem, a feature beside the word.
-STEM = 6
+#: Bytes of a word's stems, features beside the word.
+STEMS = (4, 5, 6)
+#: A feature is a word or stem whose likelihood ratio (G squared) with the label is at least this, and that occurs in at least 3 toxic rows.
+LEAST_G2 = 24.0
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of each word and of each stem of a longer word."""
     first, end, words, text = K.words(data, offsets, K.PUNCT, K.LOWER)
-    long = end - first > STEM
-    _, _, stems, _ = K.words(data, offsets, K.PUNCT, K.LOWER, STEM)
-    return np.concatenate([words, ~stems[long]]), np.concatenate([text, text[long]])
+    stems, of = K.stems(data, first, end, STEMS, K.LOWER)
+    return np.concatenate([words, ~stems]), np.concatenate([text, text[of]])
+
+
+def counted(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, count), sorted; of the sorted hashes ``chosen`` only, if given."""
+    hashes, text = features(data, offsets)
+    if chosen is not None:
+        hit = held(hashes, chosen)
+        hashes, text = hashes[hit], text[hit]
+    order = np.lexsort((hashes, text))
+    h, t = hashes[order], text[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])) if len(h) else np.zeros(0, np.int64)
+    return t[new], h[new], np.diff(np.append(new, len(h)))
+
+
+def held(hashes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Where ``hashes`` are in the sorted ``chosen``: most are told by their first 16 bits."""
+    if not len(chosen):
+        return np.zeros(0, np.int64)
+    maybe = np.zeros(1 << 16, bool)
+    maybe[(chosen >> np.uint64(48)).astype(np.int64)] = True
+    hit = np.flatnonzero(maybe[(hashes >> np.uint64(48)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(chosen, hashes[hit]), len(chosen) - 1)
+    return hit[chosen[at] == hashes[hit]]
 
 
 @dataclass
@@ -59,16 +83,8 @@ class OrdinalModel:
         n = len(offsets) - 1
         if not len(self.words):
             return np.zeros(n)
-        hashes, text = features(data, offsets)
-        maybe = np.zeros(1 << 16, bool)
-        maybe[(self.words >> np.uint64(48)).astype(np.int64)] = True
-        hit = np.flatnonzero(maybe[(hashes >> np.uint64(48)).astype(np.int64)])
-        at = np.searchsorted(self.words, hashes[hit])
-        at[at == len(self.words)] = 0
-        true = self.words[at] == hashes[hit]
-        cell = text[hit[true]] * len(self.words) + at[true]
-        cells, counts = np.unique(cell, return_counts=True)
-        return np.bincount(cells // len(self.words), np.log1p(counts) * self.weights[cells % len(self.words)], n)
+        text, hashes, counts = counted(data, offsets, self.words)
+        return np.bincount(text, np.log1p(counts) * self.weights[np.searchsorted(self.words, hashes)], n)
 
 
 def _fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.ndarray, p: int, l2: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,32 +116,23 @@ def _fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np
     return params[:p], params[p] + np.concatenate([[0.0], np.cumsum(np.exp(params[p + 1 :]))])
 
 
-def fit_counts(doc: np.ndarray, word: np.ndarray, count: np.ndarray, toxic: np.ndarray, least_g2: float = 24.0, l2: float = 1e-4, steps: int = 400) -> OrdinalModel:
-    """Fit to word counts: ``doc``, ``word``, ``count`` in parallel; ``toxic`` is the label of each document."""
-    n, n1 = len(toxic), int(toxic.sum())
-    if not n1 or n1 == n or not len(word):
-        return OrdinalModel()
-    vocabulary, index = np.unique(word, return_inverse=True)
-    df = np.bincount(index, minlength=len(vocabulary))
-    k1 = np.bincount(index, toxic[doc], len(vocabulary))
+def g2(df: Column, k1: Column, n: int, n1: int) -> Column:
+    """The likelihood ratio of a feature in ``df`` of ``n`` rows, ``k1`` of them among the ``n1`` toxic ones; 0 if it goes with the clean ones."""
     share, rate = k1 / df, n1 / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g2 = 2 * (np.where(k1 > 0, k1 * np.log(share / rate), 0) + np.where(df > k1, (df - k1) * np.log((1 - share) / (1 - rate)), 0))
-    chosen = np.flatnonzero((g2 >= least_g2) & (share > rate) & (k1 >= 3))
-    if not len(chosen):
-        return OrdinalModel()
-    where = np.full(len(vocabulary), -1)
-    where[chosen] = np.arange(len(chosen))
-    keep = where[index] >= 0
-    rows, cols, vals = doc[keep], where[index[keep]], np.log1p(count[keep])
-    hits = np.bincount(rows, count[keep], n)
+    toxic, clean = k1 * F.log(share / rate), F.when(df > k1, (df - k1) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+    return F.when(share > rate, 2 * (toxic + clean)).otherwise(0.0)
+
+
+def fit_counts(doc: np.ndarray, word: np.ndarray, count: np.ndarray, toxic: np.ndarray, words: np.ndarray, l2: float = 1e-4, steps: int = 400) -> OrdinalModel:
+    """Fit to counts of the feature ``words`` (sorted): ``doc``, ``word``, ``count`` in parallel; ``toxic`` is the label of each document."""
+    cols, vals = np.searchsorted(words, word), np.log1p(count)
+    hits = np.bincount(doc, count, len(toxic))
     grade = toxic.astype(np.int64)
     graded = (toxic == 1) & (hits > 0)
     if graded.any():
         low, high = np.quantile(hits[graded], [1 / 3, 2 / 3])
         grade[graded] = 1 + (hits[graded] > low) + (hits[graded] > high)
-    weights, thresholds = _fit_ordinal(rows, cols, vals, grade, len(chosen), l2, steps)
-    return OrdinalModel(vocabulary[chosen], weights, thresholds)
+    return OrdinalModel(words, *_fit_ordinal(doc, cols, vals, grade, len(words), l2, steps))
 
 
 def distinct(rows: pa.Table) -> list[int]:
@@ -136,7 +143,7 @@ def distinct(rows: pa.Table) -> list[int]:
     seen: set[tuple[int, int]] = set()
     kept = []
     mins = rows["mins"].to_pylist()
-    for i in sorted(range(len(mins)), key=lambda i: (mins[i], rows["y"][i].as_py())):
+    for i in sorted(range(len(mins)), key=lambda i: (mins[i], rows["_y"][i].as_py(), rows["_k"][i].as_py())):
         mine = set(enumerate(mins[i]))
         if not mine & seen:
             kept.append(i)
@@ -144,8 +151,34 @@ def distinct(rows: pa.Table) -> list[int]:
     return kept
 
 
+def _passes(docs: DataFrame, what: Callable[[np.ndarray, np.ndarray], list[pa.Array]], schema: str) -> DataFrame:
+    """(_k, _y, ...) with what ``what`` makes of the texts."""
+    names = ["_k", "_y", *(c.split()[0] for c in schema.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches, "_t"):
+            yield pa.record_batch([batch.column(0), batch.column(2), *what(*K.text_parts(batch.column(1)))], names=names)
+
+    return docs.select("_k", "_t", "_y").mapInArrow(run, f"_k long, _y int, {schema}")
+
+
+def _min_hashes(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    mins = np.full((len(offsets) - 1, MINS), np.uint64(K.MASK))
+    _, _, hashes, text = K.words(data, offsets, K.PUNCT, K.LOWER)
+    pairs = K.rolling(hashes, 2)
+    with np.errstate(over="ignore"):
+        for k in range(MINS):
+            np.minimum.at(mins[:, k], text[: len(pairs)], K.mix(pairs + np.uint64(k + 1)))
+    return [pa.array(list(mins.view(np.int64)), pa.list_(pa.int64()))]
+
+
+def _lists(text: np.ndarray, n: int, *values: np.ndarray) -> list[pa.Array]:
+    ends = pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32())
+    return [pa.ListArray.from_arrays(ends, pa.array(v, pa.int64())) for v in values]
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, seed: int = 7) -> OrdinalModel:
-    """Fit to at most ``max_labelled`` labelled rows (those of the smallest hash of id and seed), the bound of what reaches the driver."""
+    """Fit to at most ``max_labelled`` labelled rows (those of the smallest hash of id and seed), whose texts are stored once."""
     arrow_batches(docs.sparkSession)
     sample = (
         labels.select(F.col("doc_id").cast("long").alias("_k"), F.col("toxic").cast("int").alias("_y"))
@@ -154,41 +187,36 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, seed: int
         .orderBy(F.xxhash64(F.col("_k"), F.lit(seed)), "_k")
         .limit(max_labelled)
     )
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches, "_t"):
-            data, offsets = K.text_parts(batch.column(1))
-            hashes, text = features(data, offsets)
-            order = np.lexsort((hashes, text))
-            h, t = hashes[order], text[order]
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])) if len(h) else np.zeros(0, np.int64)
-            ends = np.searchsorted(t[new], np.arange(len(offsets)))
-            of = pa.array(ends, pa.int32())
-            c = np.diff(np.append(new, len(h)))
-            mins = np.full((len(offsets) - 1, MINS), np.uint64(K.MASK))
-            _, _, hashes, text = K.words(data, offsets, K.PUNCT, K.LOWER)
-            pairs = K.rolling(hashes, 2)
-            with np.errstate(over="ignore"):
-                for k in range(MINS):
-                    np.minimum.at(mins[:, k], text[: len(pairs)], K.mix(pairs + np.uint64(k + 1)))
-            yield pa.record_batch(
-                [batch.column(2), pa.ListArray.from_arrays(of, pa.array(h[new].view(np.int64))), pa.ListArray.from_arrays(of, pa.array(c, pa.int64())), pa.array(list(mins.view(np.int64)), pa.list_(pa.int64()))],
-                names=["y", "words", "counts", "mins"],
-            )
-
-    rows = narrow(docs).join(F.broadcast(sample), "_k").select("_k", "_t", "_y")
-    got = rows.mapInArrow(counts, "y int, words array<long>, counts array<long>, mins array<long>").toArrow()
+    rows = stored(narrow(docs).join(F.broadcast(sample), "_k").select("_k", "_t", "_y"), "labelled")
+    got = _passes(rows, _min_hashes, "mins array<long>").toArrow()
     if not got.num_rows:
         return OrdinalModel()
-    got = got.take(pa.array(distinct(got))).combine_chunks()
-    y = got["y"].to_numpy().astype(np.int64)
-    lists = [got[c].combine_chunks() for c in ("words", "counts")]
-    lists = [pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in lists]
-    doc = np.repeat(np.arange(len(y)), lists[0].value_lengths().to_numpy())
+    kept = got.take(pa.array(distinct(got)))
+    n, n1 = kept.num_rows, int(kept["_y"].to_numpy().sum())
+    if not 0 < n1 < n:
+        return OrdinalModel()
+    ids = docs.sparkSession.createDataFrame(pa.table({"_k": pa.array(sorted(set(kept["_k"].to_pylist())), pa.int64())}))
+    rows = rows.join(F.broadcast(ids), "_k", "left_semi").dropDuplicates(["_k"])
+
+    def every(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        text, h, _ = counted(data, offsets)
+        return _lists(text, len(offsets) - 1, h.view(np.int64))
+
+    seen = _passes(rows, every, "words array<long>").select("_y", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("_y").alias("k1"))
+    chosen = seen.where("k1 >= 3").where(g2(F.col("df"), F.col("k1"), n, n1) >= LEAST_G2).select("word").toArrow()["word"]
+    words = np.sort(chosen.to_numpy().view(np.uint64))
+    if not len(words):
+        return OrdinalModel()
+
+    def some(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        text, h, c = counted(data, offsets, words)
+        return _lists(text, len(offsets) - 1, h.view(np.int64), c)
+
+    got = _passes(rows, some, "words array<long>, counts array<long>").toArrow().sort_by("_k").combine_chunks()  # rows come in any order; the fit should not depend on it
+    lists = [pa.concat_arrays(got[c].chunks) for c in ("words", "counts")]
+    doc = np.repeat(np.arange(got.num_rows), lists[0].value_lengths().to_numpy())
     word, count = (x.flatten().to_numpy() for x in lists)
-    # rows come in any order; the sums behind the fit should not depend on it
-    order = np.lexsort((word, doc))
-    return fit_counts(doc[order], word[order].view(np.uint64), count[order], y)
+    return fit_counts(doc, word.view(np.uint64), count, got["_y"].to_numpy(), words)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", reject_from: float = 0.5) -> DataFrame:
