@@ -30,7 +30,7 @@ GRADES = 3
 #: Min-hashes that tell near copies among the labelled rows.
 MINS = 6
 #: Bytes of a word's stems, features beside the word.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: A feature is a word or stem whose likelihood ratio (G squared) with the label is at least this, and that occurs in at least 3 toxic rows.
 LEAST_G2 = 24.0
 
