@@ -166,9 +166,11 @@ def _min_hashes(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
     mins = np.full((len(offsets) - 1, MINS), np.uint64(K.MASK))
     _, _, hashes, text = K.words(data, offsets, K.PUNCT, K.LOWER)
     pairs = K.rolling(hashes, 2)
+    inside = text[1:] == text[:-1]
+    pairs, text = pairs[inside], text[:-1][inside]
     with np.errstate(over="ignore"):
         for k in range(MINS):
-            np.minimum.at(mins[:, k], text[: len(pairs)], K.mix(pairs + np.uint64(k + 1)))
+            np.minimum.at(mins[:, k], text, K.mix(pairs + np.uint64(k + 1)))
     return [pa.array(list(mins.view(np.int64)), pa.list_(pa.int64()))]
 
 
