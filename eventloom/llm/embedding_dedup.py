@@ -1,8 +1,8 @@
 """Near duplicates among embeddings by cross-polytope hashing after fast Hadamard rotations.
 
 A hash turns the unit vector by three rounds of random signs and a Hadamard transform and takes the largest coordinate and its sign: one of
-2d values. A table joins ``functions`` hashes to a bucket; their number grows with the logarithm of the number of vectors, so that buckets
-stay small. Each vector is put into its bucket and looks into this and ``probes`` further ones of each table: those reached by taking the
+2d values. A table joins as many hashes to a bucket as make the buckets outnumber the vectors, so that buckets stay small at every size; the
+number of tables follows from the chance that a pair of cosine ``least`` meets in one, so that the recall stays. Each vector is put into its bucket and looks into this and ``probes`` further ones of each table: those reached by taking the
 next largest coordinate of one of the hashes, the least loss first. Candidate pairs are verified by their cosine.
 
 Defined cases: null, empty, zero and non-finite vectors have no cosine and no pairs; only vectors of equal length are compared; null ids are
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import kernels as K
-from eventloom.llm.common import stored
+from eventloom.llm.common import arrow_batches, stored
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -90,11 +90,25 @@ def by_length(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np
         yield ids[rows[good]], unit / np.linalg.norm(unit, axis=1, keepdims=True)
 
 
-def pairs(table: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding", tables: int = 12, probes: int = 4, seed: int = 11) -> DataFrame:
+def plan(count: int, width: int, least: float, miss: float = 0.002) -> tuple[int, int]:
+    """(functions, tables) for ``count`` vectors: at most ``miss`` of the pairs of cosine ``least`` should meet in no table.
+
+    One hash agrees with a chance of about d ** -(t / (4 - t)) (t the squared distance) times 0.69; four probes double a table's chance (both as
+    measured).
+    """
+    functions = max(1, math.ceil(math.log(max(count, 2)) / math.log(2 * max(2, width))))
+    t = 2 - 2 * least
+    meet = min(0.9, 2.05 * (0.69 * max(2, width) ** -(t / (4 - t))) ** functions)
+    return functions, math.ceil(math.log(miss) / math.log(1 - meet))
+
+
+def pairs(table: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str = "embedding", probes: int = 4, seed: int = 11) -> DataFrame:
     """(id_a, id_b, cosine) of the pairs found with a cosine of at least ``least``."""
-    source = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    arrow_batches(table.sparkSession)
+    kind = "array<float>" if dict(table.dtypes)[vector] == "array<float>" else "array<double>"
+    source = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).where("id is not null and v is not null")
     count, width = source.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    functions = max(1, round(math.log(max(count, 2)) / math.log(2 * max(2, width or 2))))
+    functions, tables = plan(count, width or 2, least)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +129,7 @@ def pairs(table: DataFrame, least: float = 0.9, key: str = "vec_id", vector: str
         same = lengths == right.value_lengths().to_numpy(zero_copy_only=False)
         for d in np.unique(lengths[same]):
             rows = np.flatnonzero(same & (lengths == d))
-            x, y = (v.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), d) for v in (left, right))
+            x, y = (v.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), d) for v in (left, right))
             with np.errstate(all="ignore"):
                 got = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
             out[rows] = np.where(np.isfinite(got), got, -2.0)
