@@ -37,8 +37,8 @@ def features(df: DataFrame, vector: str = "embedding", codes: list[str] | None =
 
 def ridge(df: DataFrame, label: str, alpha: float = 1.0):
     """Ridge regression minimising sum of squares + alpha |w|^2 (the intercept is free)."""
-    n = df.count()
-    return LinearRegression(featuresCol="features", labelCol=label, regParam=alpha / max(n, 1), elasticNetParam=0.0, standardization=False, solver="normal").fit(df)
+    n, spread = df.agg(F.count(label), F.stddev_pop(label)).first()  # Spark's solver works on the label divided by its deviation
+    return LinearRegression(featuresCol="features", labelCol=label, regParam=alpha / max(n, 1) * (spread or 0.0), elasticNetParam=0.0, standardization=False, solver="normal").fit(df)
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
