@@ -139,6 +139,24 @@ class SearchResult:
     trajectory: list[float] = field(default_factory=list)
 
 
+def best_cosines(corpus: DataFrame, queries: np.ndarray, column: str = "embedding") -> list[float]:
+    """The best cosine in the corpus of each query: a matrix product a batch, and one row a query from each partition."""
+    reach(corpus.sparkSession)
+    q = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-30)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.full(len(q), -np.inf)
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+                top = np.maximum(top, (x @ q.T).max(0))
+        yield pa.record_batch([pa.array(np.arange(len(q))), pa.array(top)], names=["i", "s"])
+
+    rows = corpus.where(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("v")).mapInArrow(run, "i long, s double")
+    return [r.s if np.isfinite(r.s) else 0.0 for r in rows.groupBy("i").agg(F.max("s").alias("s")).orderBy("i").collect()]
+
+
 def evolve_search(corpus: DataFrame, seed_vector: list[float], k: int = 10, iterations: int = 5, population: int = 10, mutation: float = 0.1, diversity: float = 0.3, seed: int = 42, key: str = "id", column: str = "embedding") -> SearchResult:
     """Evolutionary search: mutated query vectors are scored by their best match and by how far they are from the others.
 
@@ -154,8 +172,8 @@ def evolve_search(corpus: DataFrame, seed_vector: list[float], k: int = 10, iter
 
     pool, path = [list(seed_vector)] + [mutated(seed_vector) for _ in range(population - 1)], []
     for _ in range(iterations):
-        best = corpus.agg(*[F.max(V.cosine(column, literal(v), d)).alias(f"s{i}") for i, v in enumerate(pool)]).first()
         x = np.array(pool)
+        best = best_cosines(corpus, x, column)
         away = np.linalg.norm(x[:, None] - x[None], axis=2).sum(1) / max(len(pool) - 1, 1)
         away = away / away.max() if away.max() > 0 else away
         fitness = [(1 - diversity) * (s or 0.0) + diversity * float(a) for s, a in zip(best, away)]
