@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators import kpi as K
-from eventloom.plans.q_population import r, read
+from eventloom.plans.q_population import half_up, r, read
 
 AS_OF = "2001-12-01"
 FIRST, LAST = "1998-02-01", "1998-02-28"
@@ -139,7 +139,7 @@ def g15(s, d):
 
 
 def g16(s, d):
-    return returns(s, d).where("returned").groupBy("site").agg(F.count(F.lit(1)).alias("n"), r(F.coalesce(F.sum("bill"), F.lit(0.0)), 2).alias("cost"), r(F.avg("bill"), 4).alias("mean"))
+    return returns(s, d).where("returned").groupBy("site").agg(F.count(F.lit(1)).alias("n"), r(F.coalesce(F.sum("bill"), F.lit(0.0)), 2).alias("cost"), half_up(F.avg("bill"), 4).alias("mean"))
 
 
 def g17(s, d):
@@ -157,7 +157,7 @@ def g18(s, d):
     bills = lines(s, d).groupBy(F.col("l_orderkey").alias("visit")).agg(F.sum("price").alias("x"))
     denials = lines(s, d).where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("visit")).agg(F.count(F.lit(1)).alias("y"))
     done = lines(s, d).where("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("visit")).agg(F.count(F.lit(1)).alias("z"))
-    zero = lambda c: r(F.avg(F.coalesce(c, F.lit(0.0))), 4)
+    zero = lambda c: half_up(F.avg(F.coalesce(c, F.lit(0.0))), 4)
     return v.select("visit", "site").join(bills, "visit", "left").join(denials, "visit", "left").join(done, "visit", "left").groupBy("site").agg(zero("x").alias("bill"), zero("y").alias("denials"), zero("z").alias("done"))
 
 

@@ -43,6 +43,12 @@ def r(c, places: int = 6):
     return F.round(c, places)
 
 
+def half_up(c, places: int):
+    """Rounded by the binary value (times a power of ten, then half away from zero); Spark's own round goes by the decimal text of the number."""
+    by = 10.0**places
+    return F.signum(c) * F.floor(F.abs(c * by) + 0.5) / by + 0.0
+
+
 N = "(SELECT count(*) FROM embeddings)"
 EMB = "emb AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 VIS = f"vis AS (SELECT o.*, e.vec_id, e.label, e.embedding::DOUBLE[] AS v FROM orders o JOIN embeddings e ON e.vec_id = o.o_orderkey % {N})"
@@ -359,7 +365,7 @@ def e52(s, d):
 
 def e53(s, d):
     near = M.nearest(ids(s, d), ids(s, d), 3).select("query", "neighbour", "place")
-    bill = vis(s, d).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), r(F.avg("o_totalprice"), 1).alias("bill"), F.max((F.col("o_orderstatus") == "P").cast("int")).alias("open"))
+    bill = vis(s, d).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), half_up(F.avg("o_totalprice"), 2).alias("bill"), F.max((F.col("o_orderstatus") == "P").cast("int")).alias("open"))
     return near.join(bill, F.col("neighbour") == F.col("vec_id"), "left").select("query", "neighbour", F.col("place").cast("int").alias("place"), "n", "bill", "open")
 
 
@@ -519,7 +525,7 @@ b AS (SELECT dim, 0.5::DOUBLE * s[dim] + 0.5::DOUBLE * x / (SELECT sqrt(sum(x *
     "e50_severity": f"WITH {CASES} SELECT o_orderkey, CASE WHEN z >= 2.5 OR o_totalprice >= 480000 OR (o_orderstatus = 'F' AND z >= 2) THEN 'critical' WHEN z >= 1.5 THEN 'high' ELSE 'moderate' END AS severity, floor(100 * (o_totalprice / base - 1))::BIGINT || '%' AS relative FROM cases",
     "e51_explanation": f"WITH {CASES} SELECT o_orderkey, concat_ws('; ', CASE WHEN o_totalprice > 1.8::DOUBLE * base THEN 'bill far above the mean' WHEN o_totalprice > 1.5::DOUBLE * base THEN 'bill above the mean' WHEN z > 2 THEN 'unlike its group' ELSE 'no single reason' END, CASE WHEN o_orderstatus = 'P' THEN 'open' END, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' END) AS why FROM cases",
     "e52_recommendation": f"WITH {CASES}, a AS (SELECT o_orderkey, concat_ws('; ', CASE WHEN o_totalprice > 1.8::DOUBLE * base THEN 'audit the bill' END, CASE WHEN z > 2 THEN 'review the case' END, CASE WHEN o_orderstatus = 'P' AND z > 1 THEN 'follow up' END) AS a FROM cases) SELECT o_orderkey, CASE WHEN a = '' THEN 'no action' ELSE a END AS advice FROM a",
-    "e53_similar_details": f"WITH {VIS}, k AS ({knn_sql(3)}), b AS (SELECT vec_id, count(*) AS n, round(avg(o_totalprice), 1) AS bill, max(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS open FROM vis GROUP BY 1) SELECT k.vec_id AS query, neighbour, place, n, bill, open FROM k LEFT JOIN b ON neighbour = b.vec_id",
+    "e53_similar_details": f"WITH {VIS}, k AS ({knn_sql(3)}), b AS (SELECT vec_id, count(*) AS n, round(avg(o_totalprice), 2) AS bill, max(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS open FROM vis GROUP BY 1) SELECT k.vec_id AS query, neighbour, place, n, bill, open FROM k LEFT JOIN b ON neighbour = b.vec_id",
     "e54_embedding_table": "SELECT label, count(*) AS n, count(DISTINCT vec_id) AS ids, min(len(embedding))::INTEGER AS width FROM embeddings GROUP BY 1",
     "e55_single_scope_anomalies": f"WITH {ONE} SELECT vec_id, round((dist - avg(dist) OVER ()) / greatest(stddev_pop(dist) OVER (), 1e-8), 4) AS z FROM di ORDER BY 2 DESC, 1 LIMIT 20",
 }
