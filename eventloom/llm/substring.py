@@ -6,8 +6,10 @@ blocks of cells. A cell never counts less than the occurrences of a window, so w
 Second pass: only windows whose representative is estimated to occur twice in every row of the sketch are grouped, exactly, by two
 independent 64-bit hashes of their words; those in two or more documents are merged to spans of words.
 
-The sketch's width follows the amount of text, up to ``most_cells``. Beyond that it lets more windows through to the exact grouping, and
-still loses none.
+The sketch's width follows the amount of text. One of at most ``broadcast_cells`` cells a row is packed to bits and sent to every worker. A wider
+one stays spread over the cluster: the cells that each document touches are shuffled to where they are counted, and the places of the repeated
+ones return to the documents by a join on the id. ``most_cells`` bounds the width; a narrower sketch lets more windows through to the exact
+grouping, and still loses none.
 
 Defined cases: words are what white space (ASCII) separates, compared exactly; a text of fewer than ``WINDOW`` words, a null or an empty one
 has no window; a null id is left out; rows that repeat an id are one document, so they don't repeat each other; a passage repeated only inside
@@ -106,40 +108,76 @@ def merged(docs: DataFrame, bits: int, rows: int = ROWS, width: int = WINDOW, gr
     return sketched.groupBy("row", "block").applyInArrow(merge, "row int, block long, twice binary")
 
 
-def repeated_windows(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, rows: int = ROWS, most_cells: int = 1 << 31) -> DataFrame:
+def emitted(batch: pa.RecordBatch, take: np.ndarray, found: tuple) -> pa.RecordBatch:
+    """The windows ``take`` of a batch of texts as rows."""
+    text, word, _, one, two = found
+    ids = batch.column(0).to_numpy()[text[take]]
+    return pa.record_batch([pa.array(one[take].view(np.int64)), pa.array(two[take].view(np.int64)), pa.array(ids, pa.int64()), pa.array(word[take], pa.int32())], names=["h1", "h2", "doc_id", "word"])
+
+
+def spread(docs: DataFrame, bits: int, width: int, gram: int) -> DataFrame:
+    """The windows estimated repeated by a sketch of one row that stays spread over the cluster."""
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches, "_t"):
+            text, _, representative, _, _ = windows(batch.column(1), width, gram)
+            begin = runs(text, representative)
+            of = text[begin]
+            number = np.arange(len(begin)) - np.searchsorted(of, of)
+            yield pa.record_batch([pa.array(cells(representative[begin], 0, bits)), pa.array(batch.column(0).to_numpy()[of], pa.int64()), pa.array(number, pa.int32())], names=["cell", "_k", "run"])
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches, "_t"):
+            found = windows(batch.column(1), width, gram)
+            begin = runs(found[0], found[2])
+            of, listed = found[0][begin], batch.column(2)
+            number = np.arange(len(begin)) - np.searchsorted(of, of)
+            asked = (np.repeat(np.arange(len(listed)), listed.value_lengths().to_numpy()) << 32) | listed.flatten().to_numpy().astype(np.int64)
+            often = np.isin((of << 32) | number, asked)
+            yield emitted(batch, np.repeat(often, np.diff(np.append(begin, len(found[0])))), found)
+
+    counted = docs.mapInArrow(marks, "cell long, _k long, run int").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell")))
+    repeated = counted.where("n > 1").groupBy("_k").agg(F.collect_set("run").alias("_runs"))
+    return docs.join(repeated, "_k").select("_k", "_t", "_runs").mapInArrow(candidates, "h1 long, h2 long, doc_id long, word int")
+
+
+def repeated_windows(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, rows: int = ROWS, most_cells: int = 1 << 40, broadcast_cells: int = 1 << 28) -> DataFrame:
     """(doc_id, word): each window, by its first word, that occurs in two or more documents."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
+    arrow_batches(docs.sparkSession)
     docs = narrow(docs).where("_k is not null and _t is not null")
     bits = sketch_bits(docs, most_cells)
+    found = held(docs, bits, width, gram, rows) if 1 << bits <= broadcast_cells else spread(docs, bits, width, gram)
+    same = Window.partitionBy("h1", "h2")
+    return found.withColumn("lo", F.min("doc_id").over(same)).withColumn("hi", F.max("doc_id").over(same)).where("lo < hi").select("doc_id", "word")
+
+
+def held(docs: DataFrame, bits: int, width: int, gram: int, rows: int) -> DataFrame:
+    """The windows estimated repeated by a sketch that every worker holds."""
     twice = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(rows)]
     for part in merged(docs, bits, rows, width, gram).toArrow().to_batches():
         for row, block, packed in zip(*(c.to_pylist() for c in part.columns)):
             at = block << (BLOCK_BITS - 3)
             twice[row][at : at + (1 << (BLOCK_BITS - 3))] = np.frombuffer(packed, np.uint8)
-    sketch = spark.sparkContext.broadcast(twice)
+    sketch = docs.sparkSession.sparkContext.broadcast(twice)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_of = sketch.value
         for batch in K.slices(batches, "_t"):
-            text, word, representative, one, two = windows(batch.column(1), width, gram)
+            found = windows(batch.column(1), width, gram)
+            text, representative = found[0], found[2]
             begin = runs(text, representative)
             often = np.ones(len(begin), bool)
             for row in range(rows):
                 cell = cells(representative[begin], row, bits)
                 often &= (rows_of[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-            take = np.repeat(often, np.diff(np.append(begin, len(text))))
-            ids = batch.column(0).to_numpy()[text[take]]
-            yield pa.record_batch([pa.array(one[take].view(np.int64)), pa.array(two[take].view(np.int64)), pa.array(ids, pa.int64()), pa.array(word[take], pa.int32())], names=["h1", "h2", "doc_id", "word"])
+            yield emitted(batch, np.repeat(often, np.diff(np.append(begin, len(text)))), found)
 
-    found = docs.mapInArrow(candidates, "h1 long, h2 long, doc_id long, word int")
-    same = Window.partitionBy("h1", "h2")
-    return found.withColumn("lo", F.min("doc_id").over(same)).withColumn("hi", F.max("doc_id").over(same)).where("lo < hi").select("doc_id", "word")
+    return docs.mapInArrow(candidates, "h1 long, h2 long, doc_id long, word int")
 
 
-def spans(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, rows: int = ROWS, most_cells: int = 1 << 31) -> DataFrame:
+def spans(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, rows: int = ROWS, most_cells: int = 1 << 40, broadcast_cells: int = 1 << 28) -> DataFrame:
     """(doc_id, begin_word, end_word): the words, end excluded, of each longest stretch that repeated windows cover without a gap."""
-    one = repeated_windows(docs, width, gram, rows, most_cells)
+    one = repeated_windows(docs, width, gram, rows, most_cells, broadcast_cells)
     order = Window.partitionBy("doc_id").orderBy("word")
     fresh = one.withColumn("fresh", F.when(F.col("word") <= F.lag("word").over(order) + width, 0).otherwise(1))
     island = fresh.withColumn("island", F.sum("fresh").over(order))
