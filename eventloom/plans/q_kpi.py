@@ -316,12 +316,22 @@ def g41(s, d):
     return g.select("patient", "n", F.array_join("h.status", ">").alias("path"))
 
 
-def g42(s, d):
-    v = visits(s, d).where("patient % 10 = 7").where("begin_on < date'1996-01-01'")
+def listed(s: SparkSession, d: str, v: DataFrame) -> DataFrame:
+    """(visit, codes): the sorted codes of each visit's lines."""
     codes = lines(s, d).groupBy(F.col("l_orderkey").alias("visit")).agg(F.array_join(F.sort_array(F.collect_set("code")), ",").alias("codes"))
     return v.join(codes, "visit", "left").select("visit", "codes")
 
 
+def g42(s, d):
+    """The part of ``g42_whole`` that its SQL asks for."""
+    return listed(s, d, visits(s, d).where("patient % 10 = 7").where("begin_on < date'1996-01-01'"))
+
+
+def g42_whole(s, d):
+    """The codes of every visit of every patient."""
+    return listed(s, d, visits(s, d))
+
+
 def g43(s, d):
     """Characteristics of clusters of entities; a cluster is the entity's id modulo 7."""
     v = returns(s, d).withColumn("cluster", F.col("patient") % 7)
@@ -364,7 +374,7 @@ QUERIES = {
     "g20_prior_discharge": g20, "g21_text_lists": g21, "g22_census": g22, "g23_site_ranking": g23, "g24_trend": g24, "g25_risk_matrix": g25, "g26_actor_by_code": g26,
     "g27_intensity": g27, "g28_actor_variation": g28, "g29_multi_events": g29, "g30_products": g30, "g31_data_quality": g31, "g32_first_last": g32, "g33_event_rates": g33,
     "g34_feature_table": g34, "g35_folded_category": g35, "g36_traffic_light": g36, "g37_actor_codes": g37, "g38_visit_sequence": g38, "g39_next_visit": g39,
-    "g40_top_actors": g40, "g41_paths": g41, "g42_correlated_list": g42, "g43_clusters": g43, "g44_probe_labels": g44, "g45_recent": g45, "g46_executive": g46,
+    "g40_top_actors": g40, "g41_paths": g41, "g42_correlated_list": g42, "g42_correlated_list_whole": g42_whole, "g43_clusters": g43, "g44_probe_labels": g44, "g45_recent": g45, "g46_executive": g46,
     "g47_outcome_class": g47, "g48_dimension_lookup": g48,
 }
 

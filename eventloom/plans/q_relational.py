@@ -120,13 +120,23 @@ def i06(s, d):
     return o.join(med, "o_custkey").where("o_totalprice > 2 * med").select("o_orderkey", r("med", 3).alias("med"))
 
 
-def i07(s, d):
-    """Intervals that overlap, bucketed by week, so that the join is on equal weeks rather than on all pairs."""
-    e = read(s, d, "events").where("user_id < 20").select("event_id", "user_id", "ts", (F.col("ts") + F.expr("INTERVAL 3 HOURS")).alias("till"))
+def overlaps(e: DataFrame) -> DataFrame:
+    """(a, b): events of a user whose intervals overlap, bucketed by week, so that the join is on equal users and weeks rather than on all pairs."""
+    e = e.select("event_id", "user_id", "ts", (F.col("ts") + F.expr("INTERVAL 3 HOURS")).alias("till"))
     weeks = e.withColumn("week", F.explode(F.sequence(F.floor(V.seconds("ts") / 604800), F.floor(V.seconds("till") / 604800))))
-    a, b = weeks.select("week", "user_id", F.col("event_id").alias("a"), F.col("ts").alias("ta"), F.col("till").alias("ea")), weeks.select("week", F.col("user_id").alias("other"), F.col("event_id").alias("b"), F.col("ts").alias("tb"), F.col("till").alias("eb"))
+    a, b = (weeks.select("week", "user_id", F.col("event_id").alias(x), F.col("ts").alias(f"t{x}"), F.col("till").alias(f"e{x}")) for x in "ab")
     first = F.col("week") == F.floor(V.seconds(F.greatest("ta", "tb")) / 604800)
-    return a.join(b, "week").where((F.col("a") < F.col("b")) & (F.col("user_id") == F.col("other")) & (F.col("ta") < F.col("eb")) & (F.col("tb") < F.col("ea")) & first).select("a", "b")
+    return a.join(b, ["week", "user_id"]).where((F.col("a") < F.col("b")) & (F.col("ta") < F.col("eb")) & (F.col("tb") < F.col("ea")) & first).select("a", "b")
+
+
+def i07(s, d):
+    """The part of ``i07_whole`` that its SQL asks for."""
+    return overlaps(read(s, d, "events").where("user_id < 20"))
+
+
+def i07_whole(s, d):
+    """Overlaps of every user's events."""
+    return overlaps(read(s, d, "events"))
 
 
 def j01(s, d):
@@ -275,7 +285,7 @@ def c11(s, d):
 QUERIES = {
     "a05_source_tables": a05, "a06_warehouse": a06, "a07_load_sequences": a07, "a08_load_entities": a08, "a09_prediction_rows": a09, "a10_upsert": a10, "a11_artefact": a11, "a13_touching": a13, "a20_id_list": a20, "a21_query": a21,
     "c02_batch_updates": c02, "c06_buffer": c06, "c07_trigger_poll": c07, "c09_alerts": c09, "c11_cascade": c11,
-    "i01_composite_key": i01, "i02_left": i02, "i04_semi": i04, "i05_anti": i05, "i06_residual": i06, "i07_overlap": i07,
+    "i01_composite_key": i01, "i02_left": i02, "i04_semi": i04, "i05_anti": i05, "i06_residual": i06, "i07_overlap": i07, "i07_overlap_whole": i07_whole,
     "j01_aggregates": j01, "j02_windows": j02, "j03_set_operations": j03, "j04_cube": j04, "j05_pivot": j05, "j06_correlated": j06, "j07_approximate": j07,
     "k01_strings": k01, "k02_dates": k02, "k03_conversion": k03, "k04_conditional": k04, "k05_math": k05, "k06_arrays": k06, "k07_hashes": k07, "k08_maps": k08, "k09_json": k09,
 }
