@@ -120,33 +120,51 @@ def f14(s, d):
     return S.richest(per_customer(s, d), 25)
 
 
-def timelines(s: SparkSession, d: str, ids: int = 20, events: int = 30, dims: int = 8) -> DataFrame:
-    """The newest events of the richest entities over two tables."""
-    who = F.broadcast(S.richest(per_customer(s, d), ids).select(F.col("id").alias("_who")))
-    e, o = read(s, d, "events").drop("props"), read(s, d, "orders").drop("o_orderpriority")
-    both = union([
-        S.events_of(e.join(who, F.col("user_id") == F.col("_who"), "left_semi"), "user_id", "ts", ["event_type", "value"], "events", dims),
-        S.events_of(o.join(who, F.col("o_custkey") == F.col("_who"), "left_semi"), "o_custkey", "o_orderdate", ["o_orderstatus", "o_totalprice"], "orders", dims),
-    ])
-    return S.newest(both, events, "source", "embedding")
+#: (entity, time, context) of the tables that timelines are made of.
+TIMELINE = {"events": ("user_id", "ts", ["event_type", "value"]), "orders": ("o_custkey", "o_orderdate", ["o_orderstatus", "o_totalprice"])}
 
 
-def f15(s, d):
-    t = timelines(s, d)
+def timeline_dims(s: SparkSession, d: str, most: int = 64) -> int:
+    """Dimensions of a timeline's events: those of the widest table, ``most`` at most."""
+    return min(most, max(sum(S.width(read(s, d, t).schema[c].dataType) for c in context) for t, (_, _, context) in TIMELINE.items()))
+
+
+def timelines(s: SparkSession, d: str, ids: int | None = None, events: int = 5000) -> DataFrame:
+    """The newest events of the richest entities over two tables; of all entities without ``ids``."""
+    dims = timeline_dims(s, d)
+    who = None if ids is None else F.broadcast(S.richest(per_customer(s, d), ids).select(F.col("id").alias("_who")))
+    parts = []
+    for t, (entity, time, context) in TIMELINE.items():
+        df = read(s, d, t)
+        parts.append(S.events_of(df if who is None else df.join(who, F.col(entity) == F.col("_who"), "left_semi"), entity, time, context, t, dims))
+    return S.newest(union(parts), events, "source", "embedding")
+
+
+def spans(t: DataFrame) -> DataFrame:
     return t.groupBy("id").agg(F.count(F.lit(1)).alias("events"), r((F.max("ts") - F.min("ts")) / 86400.0, 4).alias("span_days"), F.count_distinct("source").alias("sources"))
 
 
+def f15(s, d):
+    """The part of ``f15_whole`` that its SQL asks for."""
+    return spans(timelines(s, d, 20, 30))
+
+
+def f15_whole(s, d):
+    return spans(timelines(s, d))
+
+
 def f16(s, d):
     """Salient dimensions of the processed timelines of two or more events."""
     t = timelines(s, d).select("id", F.col("ts") / 86400.0, "embedding", F.col("source").alias("modality"), F.hash("embedding").alias("tie")).toDF("id", "ts", "embedding", "modality", "tie")
     t = t.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("id"))).where("_n >= 2").drop("_n")
-    return Q.process(t, 8).select("id", F.size("representation").alias("dims"), F.size("patterns").alias("salient"), F.size("predictions").alias("steps"))
+    return Q.process(t, timeline_dims(s, d)).select("id", F.size("representation").alias("dims"), F.size("patterns").alias("salient"), F.size("predictions").alias("steps"))
 
 
 def f17(s, d):
     t = timelines(s, d).select("id", F.col("ts") / 86400.0, "embedding", F.col("source").alias("modality"), F.hash("embedding").alias("tie")).toDF("id", "ts", "embedding", "modality", "tie")
     n = t.groupBy("id").agg(F.count(F.lit(1)).alias("events"))
-    return Q.representation(t, 8).join(n, "id").select("id", "events", r(V.norm("embedding", 8), 4).alias("norm")).orderBy(F.desc("events"), "id")
+    dims = timeline_dims(s, d)
+    return Q.representation(t, dims).join(n, "id").select("id", "events", r(V.norm("embedding", dims), 4).alias("norm")).orderBy(F.desc("events"), "id")
 
 
 def texts(s: SparkSession, d: str) -> DataFrame:
@@ -156,12 +174,26 @@ def texts(s: SparkSession, d: str) -> DataFrame:
 
 
 def f18(s, d):
+    """The part of ``f18_whole`` that its SQL asks for."""
     return S.joined_text(texts(s, d), 600)
 
 
+def f18_whole(s, d):
+    return S.joined_text(texts(s, d), 3000)
+
+
+def text_events(s: SparkSession, d: str, ids: int = 100, events: int = 500) -> DataFrame:
+    who = S.richest(per_customer(s, d), ids).select("id")
+    return S.newest(texts(s, d).join(F.broadcast(who), "id", "left_semi"), events, "tie").select("id", "line")
+
+
 def f19(s, d):
-    who = S.richest(per_customer(s, d), 10).select("id")
-    return S.newest(texts(s, d).join(F.broadcast(who), "id", "left_semi"), 20, "tie").select("id", "line")
+    """The part of ``f19_whole`` that its SQL asks for."""
+    return text_events(s, d, 10, 20)
+
+
+def f19_whole(s, d):
+    return text_events(s, d)
 
 
 def f20(s, d):
@@ -199,11 +231,25 @@ def context(s: SparkSession, d: str, who: DataFrame, most: int = 500) -> DataFra
 
 
 def f22(s, d):
+    """The part of ``f22_whole`` that its SQL asks for."""
     return context(s, d, S.richest(per_customer(s, d), 1).select("id"), 60)
 
 
+def f22_whole(s, d):
+    return context(s, d, S.richest(per_customer(s, d), 1).select("id"))
+
+
+def contexts(s: SparkSession, d: str, ids: int = 50) -> DataFrame:
+    return context(s, d, S.richest(per_customer(s, d), ids).select("id")).groupBy("id").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("source").alias("sources"), F.max("ts").alias("newest"))
+
+
 def f23(s, d):
-    return context(s, d, S.richest(per_customer(s, d), 10).select("id")).groupBy("id").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("source").alias("sources"), F.max("ts").alias("newest"))
+    """The part of ``f23_whole`` that its SQL asks for."""
+    return contexts(s, d, 10)
+
+
+def f23_whole(s, d):
+    return contexts(s, d)
 
 
 def f24(s, d):
@@ -221,13 +267,22 @@ def f26(s, d):
     return a.union(rg.select(F.concat(F.lit("REGION_"), F.col("r_regionkey")), F.lit("REGION"), "r_name"))
 
 
-def f27(s, d):
-    t = triples(s, d).where("predicate = 'HAS_CUST_VIA_orders'")
+def indexed(t: DataFrame) -> DataFrame:
+    """The edges with the dense index of either end."""
     nodes = S.dense_index(t.select(F.explode(F.array("subject_id", "object_id")).alias("node")), "node")
     a, b = nodes.toDF("subject_id", "src"), nodes.toDF("object_id", "dst")
     return t.join(a, "subject_id").join(b, "object_id").select("subject_id", "object_id", "src", "dst")
 
 
+def f27(s, d):
+    """The part of ``f27_whole`` that its SQL asks for."""
+    return indexed(triples(s, d).where("predicate = 'HAS_CUST_VIA_orders'"))
+
+
+def f27_whole(s, d):
+    return indexed(triples(s, d))
+
+
 def f28(s, d):
     graph = triples(s, d).select(F.col("object_id").alias("node_id")).distinct()
     return f26(s, d).join(graph, "node_id", "left_semi").groupBy("entity_type").agg(F.count(F.lit(1)).alias("matched"))
@@ -288,9 +343,9 @@ NEAR = "near AS (SELECT node, neighbour, row_number() OVER (PARTITION BY node OR
 
 QUERIES = {
     "f01_profile": f01, "f02_key_candidates": f02, "f03_foreign_keys": f03, "f04_size_buckets": f04, "f05_domains": f05, "f06_fingerprint": f06, "f07_snapshot": f07, "f08_key_filter": f08,
-    "f09_catalog": f09, "f10_temporal_tables": f10, "f11_entity_types": f11, "f12_value_encoders": f12, "f13_projection": f13, "f14_richest": f14, "f15_timelines": f15,
-    "f16_process_timelines": f16, "f17_timeline_summary": f17, "f18_row_text": f18, "f19_text_events": f19, "f20_bridges": f20, "f21_related": f21, "f22_context": f22, "f23_contexts": f23,
-    "f24_triples": f24, "f25_numeric_triples": f25, "f26_ontology": f26, "f27_dictionary": f27, "f28_ontology_match": f28, "f29_hops": f29, "f30_widths": f30, "f31_json": f31, "f32_one_timeline": f32,
+    "f09_catalog": f09, "f10_temporal_tables": f10, "f11_entity_types": f11, "f12_value_encoders": f12, "f13_projection": f13, "f14_richest": f14, "f15_timelines": f15, "f15_timelines_whole": f15_whole,
+    "f16_process_timelines": f16, "f17_timeline_summary": f17, "f18_row_text": f18, "f18_row_text_whole": f18_whole, "f19_text_events": f19, "f19_text_events_whole": f19_whole, "f20_bridges": f20, "f21_related": f21, "f22_context": f22, "f22_context_whole": f22_whole, "f23_contexts": f23, "f23_contexts_whole": f23_whole,
+    "f24_triples": f24, "f25_numeric_triples": f25, "f26_ontology": f26, "f27_dictionary": f27, "f27_dictionary_whole": f27_whole, "f28_ontology_match": f28, "f29_hops": f29, "f30_widths": f30, "f31_json": f31, "f32_one_timeline": f32,
     "e42_node_time": e42,
 }
 
