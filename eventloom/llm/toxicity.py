@@ -27,8 +27,8 @@ from eventloom.llm.common import arrow_batches, narrow, stored
 from eventloom.session import unused
 
 GRADES = 3
-#: Min-hashes that tell near copies among the labelled rows.
-MINS = 6
+#: Min-hashes that tell near copies among the labelled rows: copies agree in half of them or more.
+MINS = 64
 #: Bytes of a word's stems, features beside the word.
 STEMS = (4, 5, 6, 7, 8)
 #: A feature is a word or stem whose likelihood ratio (G squared) with the label is at least this, and that occurs in at least 3 toxic rows.
@@ -136,18 +136,23 @@ def fit_counts(doc: np.ndarray, word: np.ndarray, count: np.ndarray, toxic: np.n
 
 
 def distinct(rows: pa.Table) -> list[int]:
-    """Rows that are no (near) copy of another: of those that share a min-hash of their word pairs one is trained on, whatever the rows' order.
+    """Rows that are no (near) copy of another: one goes if half or more of its min-hashes are those of a row that stays, whatever the rows' order.
 
-    Else the words of a passage that was copied often would pass for signs of its label.
+    Else the words of a passage that was copied often would pass for signs of its label. Rows that agree in two neighbouring min-hashes are
+    compared (a pair of Jaccard 0.5 is missed with chance 0.0001).
     """
-    seen: set[tuple[int, int]] = set()
-    kept = []
     mins = rows["mins"].to_pylist()
+    table = np.array(mins, np.int64).reshape(len(mins), MINS)
+    near: dict[tuple[int, int, int], list[int]] = {}
+    kept = []
     for i in sorted(range(len(mins)), key=lambda i: (mins[i], rows["_y"][i].as_py(), rows["_k"][i].as_py())):
-        mine = set(enumerate(mins[i]))
-        if not mine & seen:
-            kept.append(i)
-        seen |= mine
+        pairs = [(k, *mins[i][k : k + 2]) for k in range(0, MINS, 2)]
+        others = list({j for p in pairs for j in near.get(p, ())})
+        if others and ((table[others] == table[i]).sum(axis=1) * 2 >= MINS).any():
+            continue
+        kept.append(i)
+        for p in pairs:
+            near.setdefault(p, []).append(i)
     return kept
 
 
@@ -163,14 +168,20 @@ def _passes(docs: DataFrame, what: Callable[[np.ndarray, np.ndarray], list[pa.Ar
 
 
 def _min_hashes(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    """Of the word pairs of each text, or of its only word."""
     mins = np.full((len(offsets) - 1, MINS), np.uint64(K.MASK))
     _, _, hashes, text = K.words(data, offsets, K.PUNCT, K.LOWER)
     pairs = K.rolling(hashes, 2)
     inside = text[1:] == text[:-1]
-    pairs, text = pairs[inside], text[:-1][inside]
-    with np.errstate(over="ignore"):
-        for k in range(MINS):
-            np.minimum.at(mins[:, k], text, K.mix(pairs + np.uint64(k + 1)))
+    alone = np.bincount(text, minlength=len(mins))[text] == 1
+    pairs, text = np.concatenate([pairs[inside], hashes[alone]]), np.concatenate([text[:-1][inside], text[alone]])
+    order = np.argsort(text, kind="stable")
+    pairs, text = pairs[order], text[order]
+    if len(text):
+        first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        with np.errstate(over="ignore"):
+            for k in range(MINS):
+                mins[text[first], k] = np.minimum.reduceat(K.mix(pairs + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & K.MASK)), first)
     return [pa.array(list(mins.view(np.int64)), pa.list_(pa.int64()))]
 
 

@@ -1,5 +1,7 @@
 import numpy as np
+import pyarrow as pa
 
+from eventloom.llm import kernels as K
 from eventloom.llm import toxicity as T
 
 SCHEMA = "doc_id long, text string, severity int, _toxicity string"
@@ -83,3 +85,19 @@ def test_held_out_accuracy(spark):
     held = T.score(docs.join(labels.where("doc_id % 2 = 1"), "doc_id"), model).select("toxic", "rejected").toPandas()
     assert held[held.toxic == 1].rejected.mean() >= 0.9
     assert held[held.toxic == 0].rejected.mean() <= 0.01
+
+
+def test_boilerplate_makes_no_copies(spark):
+    docs, labels = labelled(spark)
+    header = " ".join(f"header{k}" for k in range(20))
+    rows = [(r.doc_id, f"{header} {r.text}") for r in docs.collect()]
+    copies = [(1000 + i, t + " end") for i, t in rows[:50]]
+    table = pa.table({"_k": [i for i, _ in rows + copies], "_y": [0] * (len(rows) + 50), "mins": T._min_hashes(*K.text_parts(pa.array([t for _, t in rows + copies])))[0]})
+    kept = {table["_k"][i].as_py() % 1000 for i in T.distinct(table)}
+    assert len(T.distinct(table)) == len(rows) and kept == {i for i, _ in rows}
+    assert len(T.fit(spark.createDataFrame(rows, docs.schema), labels).words) >= 2
+
+
+def test_short_texts_are_no_copies():
+    mins = T._min_hashes(*K.text_parts(pa.array(["vile", "fine", "", "vile", "a b"])))[0]
+    assert len(T.distinct(pa.table({"_k": range(5), "_y": [1, 0, 0, 1, 0], "mins": mins}))) == 4
