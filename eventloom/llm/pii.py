@@ -23,7 +23,8 @@ from eventloom.session import unused
 
 NEAR = 40
 EMAIL = re.compile(r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![\w-])")
-CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)")
+DIGITS = re.compile(r"(?<!\d)\d(?:[ -]?\d){12,}")
+AFTER = re.compile(r"(?![\w-]|\.\d)")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)")
 SSN = re.compile(r"(?<![\w.-])(\d{3})([ -])(\d{2})\2(\d{4})(?![\w-]|\.\d)")
 IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)")
@@ -68,6 +69,31 @@ def issued(digits: str) -> bool:
     )
 
 
+def cards_in(text: str, begin: int, end: int) -> list[tuple[int, int]]:
+    """(begin, end) of the cards in a run of digit groups.
+
+    From each group on, the most groups of 13 to 19 digits that an issuer's range and Luhn confirm are a card; the search goes on after it, or a
+    group later if there is none.
+    """
+    groups = [(m.start() + begin, m.end() + begin) for m in re.finditer(r"\d+", text[begin:end])]
+    first = 1 if begin and re.match(r"[\w.+-]", text[begin - 1]) else 0
+    last = len(groups) if AFTER.match(text, end) else len(groups) - 1
+    out = []
+    while first < last:
+        digits, fit = "", None
+        for k in range(first, last):
+            digits += text[groups[k][0] : groups[k][1]]
+            if len(digits) > 19:
+                break
+            if len(digits) >= 13 and issued(digits) and luhn(digits) and len(set(digits)) > 1:
+                fit = k
+        if fit is not None:
+            out.append((groups[first][0], groups[fit][1]))
+            first = fit
+        first += 1
+    return out
+
+
 def iban_in(run: str) -> str | None:
     """The longest prefix of a candidate run that passes mod 97 (words after an IBAN may look like more of it)."""
     for end in range(len(run), 14, -1):
@@ -89,13 +115,15 @@ def spans(text: str, least: float = 0.5) -> list[tuple[str, int, int, float]]:
     if "@" in text:
         for m in EMAIL.finditer(text):
             add("email", *m.span())
-    for m in CARD.finditer(text):
-        digits = re.sub(r"\D", "", m[0])
-        if issued(digits) and luhn(digits) and len(set(digits)) > 1:
-            add("card", *m.span())
-    for m in IBAN.finditer(text):
-        if got := iban_in(m[0]):
-            add("iban", m.start(), m.start() + len(got))
+    for m in DIGITS.finditer(text):
+        for span in cards_in(text, *m.span()):
+            add("card", *span)
+    at = 0
+    while m := IBAN.search(text, at):
+        got = iban_in(m[0])
+        at = m.start() + len(got or m[0].partition(" ")[0])
+        if got:
+            add("iban", m.start(), at)
     for m in SSN.finditer(text):
         if m[1] not in ("000", "666") and m[1] < "900" and m[3] != "00" and m[4] != "0000":
             add("ssn", *m.span())

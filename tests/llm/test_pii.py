@@ -54,3 +54,18 @@ def test_whole_table(spark, sf):
 
     want = sorted((r.doc_id, *s) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for s in pii.spans(r.text))
     assert sorted((r.doc_id, r.kind, r.begin, r.end, r.score) for r in queries()["op2_pii"](spark, sf).collect()) == want
+
+
+@pytest.mark.parametrize("text,want", [
+    ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]),
+    ("4111 1111 1111 1111 123", ["4111 1111 1111 1111"]),
+    ("2 4111 1111 1111 1111 .", ["4111 1111 1111 1111"]),
+    ("x2 4111-1111-1111-1111 12th", ["4111-1111-1111-1111"]),
+    ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+    ("x4111 1111 1111 1111", []), ("4111 1111 1111 1111x", []), ("4111 1111 1111 11112", []),
+    ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]),
+    ("GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00", ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"]),
+    ("AB12 DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+])
+def test_parts_of_runs(text, want):
+    assert [text[a:b] for k, a, b, _ in pii.spans(text) if k in ("card", "iban")] == want
