@@ -1,7 +1,8 @@
 """Secret scans with structural confirmation: a candidate is reported only if what it encodes parses.
 
-Kinds: private_key (PEM: the body decodes and its DER or OpenSSH structure, nested lengths included, is that of a private key), der_key (the
-same in bare base64 or hex), signed_token (three base64url parts: a JSON header with ``alg``, a JSON payload, a signature of the length that
+Kinds: private_key (PEM: the body decodes and its DER or OpenSSH structure, nested lengths included, is that of a private key; line ends may be real
+or written with backslashes; of an encrypted body the cipher's header lines and block length are checked), der_key (the same in bare base64 or
+hex, of one line or several), signed_token (three base64url parts: a JSON header with ``alg``, a JSON payload, a signature of the length that
 ``alg`` makes), access_key (AKIA or ASIA and 16 base32 digits that decode), hub_token (the last six digits are the CRC-32 of the others, base
 62), assigned_hex and assigned_base64 (a value assigned to a word like password or token that decodes to bytes of enough variety).
 
@@ -25,12 +26,22 @@ from pyspark.sql import functions as F
 from eventloom.llm import kernels as K
 from eventloom.llm.common import apart, arrow_batches, narrow
 
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?!-----)[\s\S])*+)-----END \1-----")
 TOKEN = re.compile(r"(?<![\w.-])(eyJ[\w-]{8,})\.([\w-]{4,})\.([\w-]*)(?![\w-])", re.A)
 ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)([A-Z2-7]{16})(?![A-Za-z0-9])")
 HUB = re.compile(r"(?<![A-Za-z0-9])gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 ASSIGNED = re.compile(r"""(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private|secret)[_-]?(?:key|token))["']?\s{0,4}(?::=|=>|=|:)\s{0,4}(["']?)([A-Za-z0-9+/_-]{16,}={0,2})\1(?![A-Za-z0-9+/_-])""")
-RUN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{64,}={0,2}(?![A-Za-z0-9+/=_-])")
+#: A line end, real or written with backslashes, with quotes and signs of joined literals around it.
+EOL = r"""(?:(?:\\+[rn])++(?:["'][ \t]*+[+.,\\]?+[ \t]*+(?:\r?\n)?+[ \t]*+["'])?+[ \t]*+|\r?\n[ \t]*+)"""
+LINE = r"[A-Za-z0-9+/]++={0,2}+(?![A-Za-z0-9+/=_-])"
+#: Lines of base64 or hex, the first of 40 characters or more. A backslash's n before them is no part of them.
+BLOCK = re.compile(rf"(?:(?<![A-Za-z0-9+/=_-])(?!(?<=\\)[rnt])|(?<=\\[rnt]))(?=[A-Za-z0-9+/]{{40}}){LINE}(?:{EOL}{LINE})*+")
+PART = re.compile(EOL)
+HEADER = re.compile(r"([A-Za-z][\w-]*):\s*(.*)")
+#: Bytes of a block, and of the vector in DEK-Info, of the ciphers of encrypted PEM.
+CIPHERS = {"DES-CBC": 8, "DES-EDE3-CBC": 8, "IDEA-CBC": 8, "RC2-CBC": 8, "RC2-40-CBC": 8, "RC2-64-CBC": 8, "BF-CBC": 8, "CAST5-CBC": 8, "SEED-CBC": 16} | {
+    f"{k}-{n}-CBC": 16 for k in ("AES", "CAMELLIA", "ARIA") for n in (128, 192, 256)
+}
 SIGNATURE = {"HS256": {32}, "HS384": {48}, "HS512": {64}, "ES256": {64}, "ES384": {96}, "ES512": {132}, "EdDSA": {64, 114}, "none": {0}} | {
     f"{k}{n}": {128, 256, 384, 512, 1024} for k in ("RS", "PS") for n in (256, 384, 512)
 }
@@ -115,6 +126,88 @@ def unbase64(text: str, url: bool = False) -> bytes | None:
         return None
 
 
+def openssh_size(data: bytes) -> int:
+    """Bytes of the OpenSSH key that ``data`` begins with, as its lengths say."""
+    at = 15
+    for _ in range(3):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    for _ in range(min(count, 16) + 1):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at
+
+
+def pem_structure(body: str) -> str | None:
+    """What the text between the lines of a PEM key holds: header lines may come first, and line ends may be written with backslashes.
+
+    A body encrypted by Proc-Type and DEK-Info has no structure of its own: the cipher must be known, its vector as long as its block, and the
+    body whole blocks.
+    """
+    body = body.replace("\\/", "/").replace("\\u003d", "=").replace("\\u002b", "+").replace("\\t", " ")
+    body = re.sub(r"""["'][ \t]*[+.,\\]?\s*["']""", "", re.sub(r"(?:\\+[rn])+", "\n", body))
+    heads, lines = {}, []
+    for line in body.split("\n"):
+        line = line.strip(" \t\r\"'+\\" if line.rstrip().endswith(("'", '"', "\\")) or line.lstrip().startswith(("'", '"')) else " \t\r")
+        if m := HEADER.fullmatch(line):
+            heads[m[1]] = m[2].strip()
+        else:
+            lines.append(line)
+    data = unbase64("".join("".join(lines).split()))
+    if not data:
+        return None
+    if heads.get("Proc-Type", "").replace(" ", "") == "4,ENCRYPTED":
+        cipher, _, vector = (x.strip() for x in heads.get("DEK-Info", "").partition(","))
+        block = CIPHERS.get(cipher.upper())
+        ok = block and re.fullmatch(rf"[0-9A-Fa-f]{{{2 * block}}}", vector) and len(data) >= 32 and len(data) % block == 0
+        return "encrypted" if ok else None
+    return key_structure(data)
+
+
+def keys_in(text: str, begin: int, end: int) -> list[tuple[int, int, str]]:
+    """(begin, end, structure) of the keys in a block of lines: from each line that can begin one, as many lines as its lengths ask for."""
+    lines, at = [], begin
+    for m in PART.finditer(text, begin, end):
+        lines.append((at, m.start()))
+        at = m.end()
+    lines.append((at, end))
+    out, k = [], 0
+    while k < len(lines):
+        step = 1
+        for hexed, begins in ((False, ("M", "b3BlbnNzaC1rZXktdjE")), (True, ("30", "6f70656e7373682d6b65792d7631", "6F70656E7373682D6B65792D7631"))):
+            if not text.startswith(begins, lines[k][0]):
+                continue
+            head = text[lines[k][0] : lines[k][0] + 12]
+            start = (bytes.fromhex(head) if re.fullmatch("[0-9A-Fa-f]{12}", head) else b"") if hexed else unbase64(head) or b""
+            if start[:1] == b"0" and len(start) >= 6:
+                n = start[1] & 127 if start[1] >= 128 else 0
+                size = 2 + n + (int.from_bytes(start[2 : 2 + n], "big") if n else start[1])
+                if n > 4:
+                    continue
+            elif start.startswith(b"openss"):
+                rest = "".join(text[a:b] for a, b in lines[k:]).partition("=")[0]
+                rest = re.match("(?:[0-9A-Fa-f]{2})*" if hexed else "(?:.{4})*", rest)[0]
+                size = openssh_size(bytes.fromhex(rest) if hexed else unbase64(rest) or b"")
+            else:
+                continue
+            need = 2 * size if hexed else -(-size * 4 // 3)
+            if need > end - lines[k][0]:
+                continue
+            joined = ""
+            for last in range(k, len(lines)):
+                joined += text[lines[last][0] : lines[last][1]]
+                if (have := len(joined.rstrip("="))) >= need:
+                    break
+            if have != need:
+                continue
+            data = (bytes.fromhex(joined) if re.fullmatch("(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+", joined) else None) if hexed else unbase64(joined)
+            if data and (kind := key_structure(data)):
+                out.append((lines[k][0], lines[last][1], kind))
+                step = last - k + 1
+                break
+        k += step
+    return out
+
+
 def signed(header: str, payload: str, signature: str) -> bool:
     parts = [unbase64(x, url=True) for x in (header, payload, signature)]
     if None in parts:
@@ -144,8 +237,7 @@ def findings(text: str) -> list[tuple[str, int, int, str]]:
     found = []
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            data = unbase64("".join(m[2].split()))
-            if data and (kind := key_structure(data)):
+            if kind := pem_structure(m[2]):
                 found.append(("private_key", *m.span(), kind))
     for m in TOKEN.finditer(text) if "eyJ" in text else ():
         if signed(*m.groups()):
@@ -156,11 +248,8 @@ def findings(text: str) -> list[tuple[str, int, int, str]]:
     for m in HUB.finditer(text) if "gh" in text else ():
         if checksum62(m[1]) == m[2]:
             found.append(("hub_token", *m.span(), "crc32"))
-    for m in RUN.finditer(text):
-        hexed = re.fullmatch(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+", m[0])
-        data = bytes.fromhex(m[0]) if hexed else unbase64(m[0])
-        if data and (kind := key_structure(data)):
-            found.append(("der_key", *m.span(), kind))
+    for m in BLOCK.finditer(text):
+        found += [("der_key", *key) for key in keys_in(text, *m.span())]
     for m in ASSIGNED.finditer(text):
         value = m[2]
         if re.fullmatch(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+", value):

@@ -78,3 +78,49 @@ def test_whole_table(spark):
     want = sorted((r.doc_id, *f) for r in spark.read.parquet(f"{d}/documents.parquet").collect() for f in S.findings(r.text))
     got = sorted((r.doc_id, r.kind, r.begin, r.end, r.detail) for r in queries()["op8_secrets"](spark, d).collect())
     assert got == want and len(got) >= 10
+
+
+def wrapped(data, width):
+    text = base64.b64encode(data).decode()
+    return "\n".join(text[k : k + width] for k in range(0, len(text), width))
+
+
+def ec():
+    return element(0x30, element(2, b"\1") + element(4, bytes(range(7, 39))) + element(0xA0, element(6, bytes.fromhex("2a8648ce3d030107"))) + element(0xA1, element(3, b"\0" + bytes(range(64)))))
+
+
+def openssh():
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    return b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + b"\0\0\0\1" + field(bytes(range(51))) + field(bytes(range(136)))
+
+
+def test_escaped_line_ends():
+    key = pem(rsa())
+    for eol in ("\\n", "\\r\\n", "\\\\n", '\\n"\n    "', "\r\n", '\\n" +\n "'):
+        written = key.replace("\n", eol)
+        assert kinds(f'{{"private_key": "{written}{eol[:2]}", "x": 1}}') == [("private_key", written)]
+    assert kinds(pem(rsa()[:-1]).replace("\n", "\\n")) == []
+    slashed = json.dumps(pem(b"\x30" + rsa()[1:])).replace("/", "\\/")
+    assert [k for k, _ in kinds(slashed)] == ["private_key"]
+
+
+def test_pem_headers():
+    body = wrapped(os.urandom(608), 64)
+    text = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(f"a {text} b") == [("private_key", text)]
+    escaped = text.replace("\n", "\\n")
+    assert kinds(f'"{escaped}"') == [("private_key", escaped)]
+    assert kinds(text.replace("AES-128-CBC", "AES-128-XYZ")) == [] and kinds(text.replace("0A0A", "0A", 1)) == []
+    plain = pem(rsa()).replace("KEY-----\n", "KEY-----\nComment: mine\n\n", 1)
+    assert kinds(plain) == [("private_key", plain)]
+
+
+def test_wrapped_der():
+    for data in (rsa(), ec(), openssh()):
+        for width in (64, 76):
+            block = wrapped(data, width)
+            for text in (block, block.replace("\n", "\r\n"), block.replace("\n", "\\n"), block.replace("\n", "\n    ")):
+                assert kinds(f"key:\n{text}\nHello\nmore words") == [("der_key", text)]
+                assert kinds(f"key:\\n{text}\\nHello") == [("der_key", text)]
+            assert kinds(f"{block}\n{block}") == [("der_key", block)] * 2
+            assert kinds(wrapped(data[:-1], width)) == []
