@@ -139,3 +139,17 @@ def test_whole_table(spark, sf):
                 n += 1
                 found += got.get(i, i) == got.get(j, j)
     assert n and found / n >= 0.9
+
+
+def test_bands_meet_pairs_at_the_threshold():
+    """Of 400 isolated pairs whose similarity is the threshold, nine of ten or more share a band."""
+    assert 1 - (1 - 0.5 ** (M.SIZE // M.BANDS)) ** M.BANDS >= 0.92
+    rng, texts = np.random.default_rng(5), []
+    for k in range(400):
+        shared = [int(x) for x in rng.integers(0, 1 << 40, 80)]
+        for _ in range(2):
+            texts.append([*shared, *(int(x) for x in rng.integers(0, 1 << 40, 40))])  # 80 of 160 shingles are shared
+    shingle = np.array(texts, np.uint64)
+    text = np.repeat(np.arange(len(texts)), 120)
+    found = M.bands(M.signatures(text, shingle.ravel(), np.ones(shingle.size), len(texts)))
+    assert (found[::2] == found[1::2]).any(axis=1).mean() >= 0.95
