@@ -83,10 +83,19 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, key: str = "doc_id"
     return stays.select(*docs.columns)
 
 
+def dedup_batches(docs: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, in two batches that go through ``index``: the smaller half of the ids first, then the others and null ids."""
+    half = docs.agg(F.percentile_approx(key, 0.5)).first()[0]
+    if half is None:
+        return dedup(docs, index, key, text)
+    low = F.coalesce(F.col(key) <= F.lit(half), F.lit(False))
+    return dedup(docs.where(low), index, key, text).union(dedup(docs.where(~low), index, key, text))
+
+
 def new_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
     """An empty index in the shared folder."""
     name = f"digest_index_{uuid.uuid4().hex}"
     return DigestIndex(spark, f"{shared_folder(spark)}/{name}", name, buckets)
 
 
-__all__ = ["BROADCAST_ROWS", "DigestIndex", "dedup", "digest_of", "new_index"]
+__all__ = ["BROADCAST_ROWS", "DigestIndex", "dedup", "dedup_batches", "digest_of", "new_index"]

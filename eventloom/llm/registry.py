@@ -22,7 +22,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup(documents(spark, sf_dir), exact_dedup.new_index(spark))
+    return exact_dedup.dedup_batches(documents(spark, sf_dir), exact_dedup.new_index(spark))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,26 @@ def test_whole_table(spark, sf):
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         best[r.text] = min(best.get(r.text, r.doc_id), r.doc_id)
     assert sorted(r.doc_id for r in queries()["op3_exact_dedup"](spark, sf).collect()) == sorted(best.values())
+
+
+def test_batches_cover_the_table(spark):
+    index, docs = E.new_index(spark, 4), docs_of(spark, ROWS)
+    got = E.dedup_batches(docs, index)
+    kept = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    assert got.columns == docs.columns and kept(got) == kept(E.dedup(docs))
+    assert index.table().count() == len({t for _, t, _ in ROWS} - {None})
+    assert E.dedup_batches(docs.limit(0), index).count() == 0
+
+
+def test_query_reads_the_index_again(spark, sf, monkeypatch):
+    from eventloom.llm.registry import queries
+
+    held, unseen = [], E.DigestIndex.unseen
+
+    def noted(self, digests):
+        held.append(self.table() is not None)
+        return unseen(self, digests)
+
+    monkeypatch.setattr(E.DigestIndex, "unseen", noted)
+    queries()["op3_exact_dedup"](spark, sf).count()
+    assert held == [False, True]
