@@ -80,10 +80,12 @@ class Finder:
         found = []
         for name, runs in windows.items():
             for low, high in runs:
-                at = low
-                while m := self.patterns[name].search(lower, at, min(high, len(lower))):
-                    found.append((name, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    at = max(m.end(), at + 1)
+                parts = [(low, min(high, len(lower)))]
+                while parts:  # a match is the one of fewest edits: others can be on either side
+                    a, b = parts.pop()
+                    if b - a >= len(self.notices[name]) - self.edits[name] and (m := self.patterns[name].search(lower, a, b)):
+                        found.append((name, m.start(), m.end(), sum(m.fuzzy_counts)))
+                        parts += [(a, m.start()), (m.end(), b)]
         return apart(sorted(found, key=lambda f: (f[3] / len(self.notices[f[0]]), f[1] - f[2], f[1], f[0])))
 
 

@@ -53,3 +53,11 @@ def test_whole_table(spark):
     d, f = "/root/testdata/sf0.01", L.finder()
     want = sorted((r.doc_id, *s) for r in spark.read.parquet(f"{d}/documents.parquet").collect() for s in f.spans(r.text))
     assert sorted((r.doc_id, r.license, r.begin, r.end, r.edits) for r in queries()["op10_licenses"](spark, d).collect()) == want
+
+
+def test_notices_side_by_side():
+    f, exact = L.finder(), "Licensed under the Apache License, Version 2.0"
+    once, twice = exact.replace("nsed", "nced", 1), exact.replace("under", "undr", 1).replace("Apache", "Apach", 1)
+    for copies in ([once, exact], [exact, once], [twice, once, exact, once, twice], [once, exact] * 40):
+        text = "\n".join(copies)
+        assert [(text[a:b], e) for _, a, b, e in f.spans(text)] == [(c, 0 if c == exact else 1 if c == once else 2) for c in copies]
