@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The most rows that a join side may have and still be broadcast.
 BROADCAST_ROWS = 200_000
@@ -45,11 +47,14 @@ def reach(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, local runs) a temporary one is made and set.
+    Only a local session that names none (tests, local runs) gets a temporary one; on a cluster that is an error, as executors don't share
+    the driver's disk.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if named is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         made = tempfile.mkdtemp(prefix="eventloom-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         named = f"file://{made}"
@@ -65,19 +70,52 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system that ``path`` is on, and the path as its own."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through the file system it is on."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = file_system(spark, path)
+    files.delete(target, True)
+
+
+def at_end(spark: SparkSession, path: str) -> None:
+    """Have ``path`` deleted when the driver ends."""
+    files, target = file_system(spark, path)
+    files.deleteOnExit(target)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back: lineage ends, and columns stay prunable."""
+    """Write ``df`` as Parquet under the shared folder and read it back: lineage ends, and columns stay prunable.
+
+    The folder goes when the driver ends, or before with ``drop``.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at_end(spark, path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing lazy reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.stored_at)
+
+
+def named(name: str) -> Column:
+    """The column of just this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever they are called."""
+    return [named(c) for c in df.columns]
 
 
 def unused(df: DataFrame, name: str) -> str:
