@@ -47,9 +47,6 @@ def test_against_brute_force(spark):
         rows.append((k, rng.choice([" ", "\n", "  "]).join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert got(docs, width=12, gram=6) == brute(rows, 12)
-    # a sketch that stays spread over the cluster
-    assert got(docs, width=12, gram=6, broadcast_cells=1) == brute(rows, 12)
-    assert got(docs, width=12, gram=6, broadcast_cells=1, most_cells=1 << 16) == brute(rows, 12)
     # a sketch too narrow for the corpus lets more through to the exact pass and loses nothing
     assert got(docs, width=12, gram=6, most_cells=1 << 16) == brute(rows, 12)
 
@@ -59,14 +56,12 @@ def test_awkward_rows(spark):
     rows = [(1, "a b " + passage), (2, passage + " c"), (3, None), (4, ""), (None, passage), (5, " ".join(["same"] * 200)), (6, passage.upper()), (7, "x " * 100000 + passage), (8, "short"), (9, "rep " + passage), (9, "rep " + passage)]
     docs = spark.createDataFrame([(*r, "w", 1) for r in rows], SCHEMA)
     assert got(docs) == [(1, 2, 57), (2, 0, 55), (7, 100000, 100055), (9, 1, 56)]
-    assert got(docs, broadcast_cells=1) == [(1, 2, 57), (2, 0, 55), (7, 100000, 100055), (9, 1, 56)]
     twice = spark.createDataFrame([(1, passage), (1, passage), (2, "z")], "doc_id long, text string")
     assert got(twice) == []
 
 
 def test_empty(spark):
     assert got(spark.createDataFrame([], SCHEMA)) == []
-    assert got(spark.createDataFrame([], SCHEMA), broadcast_cells=1) == []
 
 
 def test_whole_table(spark, sf):
