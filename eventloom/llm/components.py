@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.session import cut
+from eventloom.session import drop, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,21 +13,24 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (two columns of ids); root is the smallest id of the component, and a node of its own too."""
+    """(node, root) for every node of ``edges`` (two columns of ids); root is the smallest id of the component, and a node of its own too.
+
+    A node's smallest neighbour is an aggregate that combines on the map side, joined back to its edges: a node that holds most edges is split by the
+    skew-join handling.
+    """
     a, b = edges.columns[:2]
-    edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges = cut(edges)
+    edges = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     state = _state(edges)
-    nearest = Window.partitionBy("u")
     while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(nearest), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.withColumn("m", F.min("v").over(nearest))
-        small = least.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = cut(small)
-        now = _state(edges)
-        if now == state:
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
+        after = stored(small.distinct(), "edges")
+        drop(edges, large)
+        edges, before, state = after, state, _state(after)
+        if state == before:
             break
-        state = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -1,39 +1,77 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a table of SHA-256 digests bucketed and sorted by digest. A batch of new data is reduced to its distinct digests, anti-joined
-with the index by sort-merge (the index side needs no shuffle), and the new digests are appended.
+with the index by sort-merge (the index side needs no shuffle, and no sort while a bucket is one file), and the new digests are appended. After
+``compact_after`` appends the index is rewritten to one sorted file a bucket.
+
+A batch's digests are appended by ``Batch.commit``, after the rows that stay have been written: a job that fails before has changed nothing and
+is run again. A commit that is repeated adds digests twice, which changes no result and goes with the next rewriting.
 
 Defined cases: of several rows with equal text the one with the smallest id stays (a null id is larger than any; of repeated rows with the
-same id one stays); a null text has no content to compare and always stays; empty texts are equal to each other; an empty batch adds nothing.
-Further columns pass through whatever their names.
+same id one stays, the first by its JSON form); a null text has no content to compare and always stays; empty texts are equal to each other; an
+empty batch adds nothing; ids may be of any type with an order. Further columns pass through whatever their names and types.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import Counter
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import BROADCAST_ROWS, small_enough, stored
-from eventloom.session import shared_folder, unused
+from eventloom.llm.common import BROADCAST_ROWS, INTEGRAL, columns_of, drop, named, small_enough, stored
+from eventloom.session import file_system, remove, shared_folder, unused
+
+
+@contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Plans made and run inside know that a bucket of one file is sorted."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 class DigestIndex:
-    """Digests seen so far, in ``path``, registered as table ``name`` with ``buckets`` buckets sorted by digest.
+    """Digests seen so far, under ``path``: generations g<n>_b<buckets>, of which the newest complete one counts.
 
-    The path outlives the session: opening it again registers the same files. ``buckets`` must stay what it was at first.
+    The path outlives the session: opening it again registers the same files, with the buckets that they have. ``buckets`` should not be fewer than
+    the shuffle's partitions, or Spark may shuffle the index too.
     """
 
-    def __init__(self, spark: SparkSession, path: str, name: str, buckets: int = 64):
-        self.spark, self.path, self.name, self.buckets = spark, path, name, buckets
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target) and not spark.catalog.tableExists(name):
-            spark.sql(f"CREATE TABLE {name} (digest BINARY) USING parquet OPTIONS (path '{path}') CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS")
+    def __init__(self, spark: SparkSession, path: str, name: str, buckets: int = 64, compact_after: int = 16):
+        self.spark, self.path, self.name, self.compact_after = spark, path, name, compact_after
+        self.generation, self.buckets = 0, buckets
+        files, root = file_system(spark, path)
+        made = [re.fullmatch(r"g(\d+)_b(\d+)", s.getPath().getName()) for s in files.listStatus(root)] if files.exists(root) else []
+        done = sorted((int(m[1]), int(m[2])) for m in made if m and files.exists(file_system(spark, f"{path}/{m[0]}/_SUCCESS")[1]))
+        if done:
+            self.generation, self.buckets = done[-1]
+            self._register()
+        for m in made:
+            if m and m[0] != self._folder():
+                remove(spark, f"{path}/{m[0]}")
+
+    def _folder(self) -> str:
+        return f"g{self.generation}_b{self.buckets}"
+
+    def _table(self) -> str:
+        return f"{self.name}_{self._folder()}"
+
+    def _register(self) -> None:
+        if not self.spark.catalog.tableExists(self._table()):
+            self.spark.sql(f"CREATE TABLE {self._table()} (digest BINARY) USING parquet OPTIONS (path '{self.path}/{self._folder()}') CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS")
 
     def table(self) -> DataFrame | None:
-        return self.spark.table(self.name) if self.spark.catalog.tableExists(self.name) else None
+        return self.spark.table(self._table()) if self.spark.catalog.tableExists(self._table()) else None
 
     def unseen(self, digests: DataFrame) -> DataFrame:
         """The rows of ``digests`` whose column ``digest`` is not in the index."""
@@ -42,60 +80,122 @@ class DigestIndex:
 
     def append(self, digests: DataFrame) -> None:
         """Add distinct digests that are not in the index yet."""
-        buckets = digests.select("digest").repartition(self.buckets, "digest")
-        writer = buckets.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append")
-        writer.option("path", self.path).saveAsTable(self.name)
+        if self.table() is not None and self.files_a_bucket() >= self.compact_after:
+            self.compact()
+        self._write(digests)
+
+    def _write(self, digests: DataFrame) -> None:
+        writer = digests.select("digest").repartition(self.buckets, "digest").write.format("parquet")
+        writer.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").option("path", f"{self.path}/{self._folder()}").saveAsTable(self._table())
+
+    def files_a_bucket(self) -> int:
+        files, root = file_system(self.spark, f"{self.path}/{self._folder()}")
+        buckets = [re.search(r"_(\d{5})(?:\.|$)", s.getPath().getName()) for s in files.listStatus(root)]
+        return max(Counter(m[1] for m in buckets if m).values(), default=0)
+
+    def compact(self) -> None:
+        """Rewrite the index to one sorted file a bucket. Until that is complete the old generation counts."""
+        every, old, table = self.table().distinct(), self._folder(), self._table()
+        self.generation += 1
+        self._write(every)
+        self.spark.sql(f"DROP TABLE {table}")
+        remove(self.spark, f"{self.path}/{old}")
+
+    def delete(self) -> None:
+        """Drop the index and its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table()}")
+        remove(self.spark, self.path)
+
+
+@dataclass
+class Batch:
+    """``rows`` stay; write them, then ``commit`` their digests."""
+
+    rows: DataFrame
+    digests: DataFrame
+    index: DigestIndex
 
+    def commit(self) -> None:
+        self.index.append(self.digests)
 
-def digest_of(text: str = "text"):
-    return F.unhex(F.sha2(F.col(text).cast("string"), 256))
+
+def digest_of(text: str = "text") -> Column:
+    return F.unhex(F.sha2(named(text).cast("string"), 256))
 
 
 def dedup(docs: DataFrame, index: DigestIndex | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay; their digests are in ``index`` afterwards.
+    """The rows of ``docs`` that stay, beside what ``index`` holds; the index is not changed."""
+    return _kept(docs, index, key, text)[0]
+
+
+def batch(docs: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text") -> Batch:
+    """The rows of ``docs`` that stay and the digests that ``index`` is to get."""
+    return Batch(*_kept(docs, index, key, text), index)
+
+
+def ingest(docs: DataFrame, index: DigestIndex, write: Callable[[DataFrame], None], key: str = "doc_id", text: str = "text") -> None:
+    """Write the rows of ``docs`` that stay, and commit their digests if that did not fail."""
+    new = batch(docs, index, key, text)
+    write(new.rows)
+    new.commit()
 
-    Only (digest, id) is shuffled to find the copies. The digests that occur more than once, with the id that stays, are then joined to the
-    documents: broadcast up to ``BROADCAST_ROWS`` of them, else by a shuffle.
+
+def _kept(docs: DataFrame, index: DigestIndex | None, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that stay, and the digests that are new.
+
+    Only (digest, id) is shuffled to find the copies, after (digest, id) has been counted in each partition. The digests that occur more than once,
+    with the id that stays, are then joined to the documents: broadcast up to ``BROADCAST_ROWS`` of them, else by a shuffle.
     """
-    spark, d, i = docs.sparkSession, unused(docs, "_digest"), unused(docs, "_id")
-    pairs = docs.where(F.col(text).isNotNull()).select(digest_of(text).alias("digest"), F.col(key).alias("id")).repartition("digest")
-    by_id = pairs.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"))
+    d, i = unused(docs, "_digest"), unused(docs, "_id")
+    by_id = docs.where(named(text).isNotNull()).select(digest_of(text).alias("digest"), named(key).alias("id")).groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"))
     first = F.min_by(F.struct("id", "n"), F.struct(F.col("id").isNull(), F.col("id")))
     groups = by_id.groupBy("digest").agg(F.sum("n").alias("n"), first.alias("first"))
     groups = stored(groups.select("digest", "n", F.col("first.id").alias("id"), F.col("first.n").alias("same")), "digests")
-    fresh = index.unseen(groups) if index else groups
-    dropped = groups.where("n > 1").select("digest", "id", "same", F.lit(False).alias("known"))
+    fresh, copied = groups, lambda t, known: t.select("digest", "id", "same", F.lit(known).alias("known"))
+    dropped = copied(groups.where("n > 1"), False)
     if index and index.table() is not None:
-        fresh = stored(fresh, "fresh")
-        seen = groups.join(fresh.select("digest"), "digest", "left_anti").select("digest", "id", "same", F.lit(True).alias("known"))
-        dropped = fresh.where("n > 1").select("digest", "id", "same", F.lit(False).alias("known")).unionByName(seen)
+        with sorted_buckets(docs.sparkSession):
+            fresh = stored(index.unseen(groups), "fresh")
+        dropped = copied(fresh.where("n > 1"), False).unionByName(copied(groups.join(fresh.select("digest"), "digest", "left_anti"), True))
     dropped = stored(dropped, "copies")
     copies = dropped.select(F.col("digest").alias(d), F.col("id").alias(i), F.col("same").alias(unused(docs, "_same")), F.col("known").alias(unused(docs, "_known")))
     same, known = copies.columns[2:]
     joined = docs.withColumn(d, digest_of(text)).join(F.broadcast(copies) if small_enough(dropped) else copies, d, "left")
-    stays = joined.where(F.col(same).isNull() | (~F.col(known) & F.col(key).eqNullSafe(F.col(i))))
+    stays = joined.where(F.col(same).isNull() | (~F.col(known) & named(key).eqNullSafe(F.col(i))))
     if dropped.where("not known and same > 1").limit(1).count():
         place = unused(docs, "_place")
-        again = stays.where(F.col(same) > 1).withColumn(place, F.row_number().over(Window.partitionBy(d).orderBy(F.hash(*docs.columns)))).where(F.col(place) == 1)
-        stays = stays.where(F.coalesce(F.col(same), F.lit(1)) == 1).select(*docs.columns).unionByName(again.select(*docs.columns))
-    if index:
-        index.append(fresh)
-    return stays.select(*docs.columns)
+        ordered = Window.partitionBy(d).orderBy(F.to_json(F.struct(*columns_of(docs))))
+        again = stays.where(F.col(same) > 1).withColumn(place, F.row_number().over(ordered)).where(F.col(place) == 1)
+        stays = stays.where(F.coalesce(F.col(same), F.lit(1)) == 1).select(*columns_of(docs)).unionByName(again.select(*columns_of(docs)))
+    if fresh is not groups:
+        drop(groups)
+    return stays.select(*columns_of(docs)), fresh
 
 
-def dedup_batches(docs: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, in two batches that go through ``index``: the smaller half of the ids first, then the others and null ids."""
-    half = docs.agg(F.percentile_approx(key, 0.5)).first()[0]
-    if half is None:
-        return dedup(docs, index, key, text)
-    low = F.coalesce(F.col(key) <= F.lit(half), F.lit(False))
-    return dedup(docs.where(low), index, key, text).union(dedup(docs.where(~low), index, key, text))
+def dedup_batches(docs: DataFrame, index: DigestIndex | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, in two batches: the smaller half of the ids first, then the others and null ids (text ids in one batch).
 
-
-def new_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
+    The index is this call's own unless given. Its digests are committed before the rows are written, as the rows are this call's result: if they
+    are not written, the whole call is made again with another index.
+    """
+    own = index or new_index(docs.sparkSession)
+    kind = dict(docs.dtypes)[key]
+    half = docs.agg(F.percentile_approx(named(key), 0.5)).first()[0] if kind in INTEGRAL else None
+    low = F.coalesce(named(key) <= F.lit(half), F.lit(False)) if half is not None else F.lit(True)
+    out = None
+    for part in (docs.where(low), docs.where(~low)) if half is not None else (docs,):
+        one = batch(part, own, key, text)
+        one.commit()
+        out = one.rows if out is None else out.union(one.rows)
+    if index is None:
+        own.delete()
+    return out
+
+
+def new_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
     """An empty index in the shared folder."""
     name = f"digest_index_{uuid.uuid4().hex}"
-    return DigestIndex(spark, f"{shared_folder(spark)}/{name}", name, buckets)
+    return DigestIndex(spark, f"{shared_folder(spark)}/{name}", name, buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-__all__ = ["BROADCAST_ROWS", "DigestIndex", "dedup", "dedup_batches", "digest_of", "new_index"]
+__all__ = ["BROADCAST_ROWS", "Batch", "DigestIndex", "batch", "dedup", "dedup_batches", "digest_of", "ingest", "new_index"]

@@ -22,11 +22,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup_batches(documents(spark, sf_dir), exact_dedup.new_index(spark))
+    return exact_dedup.dedup_batches(documents(spark, sf_dir))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return embedding_dedup.groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +84,13 @@ SELECT doc_id, text, lang, source, n_chars FROM (
   SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) AS place FROM documents)
 WHERE text IS NULL OR place = 1""",
     "op4_embedding_dedup": """
-SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cosine
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9""",
+WITH RECURSIVE near AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9),
+reach AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT n.b, r.root FROM reach r JOIN near n ON n.a = r.id),
+least AS (SELECT id, min(root) AS group_id FROM reach GROUP BY id),
+linked AS (SELECT a, count(*) AS links FROM near GROUP BY a)
+SELECT l.id AS vec_id, l.group_id, coalesce(links, 0)::BIGINT AS links FROM least l LEFT JOIN linked ON l.id = linked.a""",
     "op5_substring": """
 WITH words AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\x0b\f\r\x1c-\x1f]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
 places AS (SELECT doc_id, w, unnest(range(len(w) - 49)) AS word FROM words WHERE len(w) >= 50),
