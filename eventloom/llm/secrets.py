@@ -1,13 +1,17 @@
-"""Secret scans with structural confirmation: a candidate is reported only if what it encodes parses.
+"""Secret scans with structural confirmation: a candidate is confirmed only if what it encodes parses.
 
 Kinds: private_key (PEM: the body decodes and its DER or OpenSSH structure, nested lengths included, is that of a private key; line ends may be real
 or written with backslashes; of an encrypted body the cipher's header lines and block length are checked), der_key (the same in bare base64 or
 hex, of one line or several), signed_token (three base64url parts: a JSON header with ``alg``, a JSON payload, a signature of the length that
-``alg`` makes), access_key (AKIA or ASIA and 16 base32 digits that decode), hub_token (the last six digits are the CRC-32 of the others, base
-62), assigned_hex and assigned_base64 (a value assigned to a word like password or token that decodes to bytes of enough variety).
+``alg`` makes), access_key (AKIA or ASIA and 16 base32 digits, whose bits hold an account number of at most twelve digits), hub_token (the last six
+digits are the CRC-32 of the others, base 62). These are ``confirmed``.
+
+Not confirmed, as raw bytes have no structure: assigned_hex and assigned_base64, a value assigned to a word like password or token that
+decodes to as many bytes as keys have (``KEY_BYTES``) of enough variety. They are reported with ``confirmed`` false, or left out if asked.
 
 Defined cases: a null or empty text has no secrets; texts are searched whole; offsets are characters from 0, the end excluded; of overlapping
-findings the longest stays (then the earliest); repeated rows give their findings each; a null id is reported as null.
+findings the longest stays (then the earliest); repeated rows give their findings each; a null id is reported as null; ids may be
+whole numbers or texts; further columns play no part.
 """
 
 from __future__ import annotations
@@ -28,9 +32,11 @@ from eventloom.llm.common import apart, arrow_batches, narrow
 
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?!-----)[\s\S])*+)-----END \1-----")
 TOKEN = re.compile(r"(?<![\w.-])(eyJ[\w-]{8,})\.([\w-]{4,})\.([\w-]*)(?![\w-])", re.A)
+UNCONFIRMED = {"assigned_hex", "assigned_base64"}
 ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)([A-Z2-7]{16})(?![A-Za-z0-9])")
 HUB = re.compile(r"(?<![A-Za-z0-9])gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 ASSIGNED = re.compile(r"""(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private|secret)[_-]?(?:key|token))["']?\s{0,4}(?::=|=>|=|:)\s{0,4}(["']?)([A-Za-z0-9+/_-]{16,}={0,2})\1(?![A-Za-z0-9+/_-])""")
+KEY_BYTES = {16, 20, 24, 32, 40, 48, 64}
 #: A line end, real or written with backslashes, with quotes and signs of joined literals around it.
 EOL = r"""(?:(?:\\+[rn])++(?:["'][ \t]*+[+.,\\]?+[ \t]*+(?:\r?\n)?+[ \t]*+["'])?+[ \t]*+|\r?\n[ \t]*+)"""
 LINE = r"[A-Za-z0-9+/]++={0,2}+(?![A-Za-z0-9+/=_-])"
@@ -228,8 +234,8 @@ def checksum62(body: str) -> str:
 
 
 def varied(data: bytes) -> bool:
-    """Random bytes hardly repeat: more than half of (up to 32 of) them differ from each other, and they aren't printable text."""
-    return len(data) >= 8 and len(set(data[:32])) * 2 > min(len(data), 32) and not all(32 <= b < 127 for b in data)
+    """Random bytes of a key's length hardly repeat: more than half of (up to 32 of) them differ from each other, and they aren't printable text."""
+    return len(data) in KEY_BYTES and len(set(data[:32])) * 2 > min(len(data), 32) and not all(32 <= b < 127 for b in data)
 
 
 def findings(text: str) -> list[tuple[str, int, int, str]]:
@@ -243,7 +249,7 @@ def findings(text: str) -> list[tuple[str, int, int, str]]:
         if signed(*m.groups()):
             found.append(("signed_token", *m.span(), json.loads(unbase64(m[1], url=True))["alg"]))
     for m in ACCESS.finditer(text):
-        if len(base64.b32decode(m[1])) == 10 and len(set(m[1])) > 4:
+        if 0 < (int.from_bytes(base64.b32decode(m[1])[:6], "big") & 0x7FFFFFFFFF80) >> 7 < 10**12 and len(set(m[1])) > 4:
             found.append(("access_key", *m.span(), "base32"))
     for m in HUB.finditer(text) if "gh" in text else ():
         if checksum62(m[1]) == m[2]:
@@ -276,8 +282,9 @@ def with_runs(column: pa.Array, least: int = 12) -> np.ndarray:
     return np.unique(np.searchsorted(offsets, stops[wide] + 1, "right") - 1)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, begin, end, detail): a row for each confirmed secret; the secret itself is not repeated."""
+def scan(docs: DataFrame, unconfirmed: bool = True) -> DataFrame:
+    """(doc_id, kind, begin, end, detail, confirmed): a row for each secret, without those of no structure unless ``unconfirmed``; the secret itself is
+    not repeated."""
     arrow_batches(docs.sparkSession)
 
     @F.arrow_udf(FOUND)
@@ -288,4 +295,6 @@ def scan(docs: DataFrame) -> DataFrame:
                 out[i] = [{"kind": k, "begin": b, "end": e, "detail": d} for k, b, e, d in findings(text)]
         return pa.array(out, ARROW_FOUND)
 
-    return narrow(docs).select(F.col("_k").alias("doc_id"), F.explode(search("_t")).alias("s")).select("doc_id", "s.kind", "s.begin", "s.end", "s.detail")
+    found = narrow(docs).select(F.col("_k").alias("doc_id"), F.explode(search("_t")).alias("s")).select("doc_id", "s.kind", "s.begin", "s.end", "s.detail")
+    found = found.withColumn("confirmed", ~F.col("kind").isin(sorted(UNCONFIRMED)))
+    return found if unconfirmed else found.where("confirmed")
