@@ -7,12 +7,15 @@ Jaccard similarity J_P = sum over shared i of 1 / sum_j max(a_j / a_i, b_j / b_i
 are candidates; candidates are verified with J_P itself, computed from the texts.
 
 Groups are the connected components of the verified pairs. Texts with equal shingle weights are one node from the start. Each bucket is
-first verified as a star around its smallest id. Then every candidate pair whose ends are still in different components is verified, so the
-groups are those of all verified candidate pairs, without the quadratic number of pairs inside a group.
+first verified as a star around its smallest id. Then the candidate pairs whose ends are still in different components are compared by their
+signatures (one byte a register), in blocks of about ``BLOCK`` members of a bucket, a matrix a pair of blocks; those that the signatures put within
+``SIGMAS`` standard errors of the threshold are verified. So the groups are those of all verified candidate pairs, no bucket is held by one task, and
+neither the pairs inside a group nor those of texts that merely share a bucket are emitted.
 
 Defined cases: rows with a null id or a text without words (null, empty, only punctuation) are in no group and stay; a text of one word has
 that word as its shingle; rows that repeat an id count as that one document; the smallest id of a group stands for it; ties can't arise
-since ids decide; an empty table gives no group. Texts are taken whole. Further columns pass through ``keep_one`` whatever their names.
+since ids decide; an empty table gives no group; ids may be whole numbers or texts. Texts are taken whole. Further columns pass through
+``keep_one`` whatever their names and types.
 """
 
 from __future__ import annotations
@@ -21,15 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import kernels as K
-from eventloom.llm.common import arrow_batches, narrow, small_enough, stored, without
+from eventloom.llm.common import arrow_batches, columns_of, drop, id_type, named, narrow, small_enough, stored, without
 from eventloom.llm.components import components
+from eventloom.session import unused
 
 #: Bands of 4 registers: a pair at the threshold of 0.5 shares one of 64 with chance 0.984.
 SIZE, BANDS, SHINGLE = 256, 64, 2
+#: Members of a bucket that are compared at once; standard errors by which an estimate may miss the threshold.
+BLOCK, SIGMAS = 256, 5.0
 GOLD = 0x9E3779B97F4A7C15
 
 
@@ -98,7 +104,7 @@ def bands(signature: np.ndarray, number: int = BANDS) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, size: int = SIZE, number: int = BANDS, width: int = SHINGLE) -> DataFrame:
-    """(id, d1, d2, bands) of each text with words: d1 and d2 are a 128-bit digest of its weighted shingles."""
+    """(id, d1, d2, bands, sig) of each text with words: d1 and d2 are a 128-bit digest of its weighted shingles, sig a byte of each register."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, "_t"):
@@ -113,11 +119,13 @@ def sketch(docs: DataFrame, size: int = SIZE, number: int = BANDS, width: int =
                     total = np.concatenate([[np.uint64(0)], np.cumsum(each)])
                     ends = np.searchsorted(text, np.arange(n + 1))
                     d.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64)[has])
-            found = bands(signatures(text, shingle, count.astype(np.float64), n, size), number)[has]
+            registers = signatures(text, shingle, count.astype(np.float64), n, size)[has]
+            found = bands(registers, number)
             of = pa.array(np.arange(len(found) + 1) * number, pa.int32())
-            yield pa.record_batch([batch.column(0).filter(pa.array(has)), pa.array(d[0]), pa.array(d[1]), pa.ListArray.from_arrays(of, pa.array(found.ravel()))], names=["id", "d1", "d2", "bands"])
+            sig = pa.array([row.tobytes() for row in K.mix(registers).astype(np.uint8)], pa.binary())
+            yield pa.record_batch([batch.column(0).filter(pa.array(has)), pa.array(d[0]), pa.array(d[1]), pa.ListArray.from_arrays(of, pa.array(found.ravel())), sig], names=["id", "d1", "d2", "bands", "sig"])
 
-    return narrow(docs).where("_k is not null and _t is not null").mapInArrow(run, "id long, d1 long, d2 long, bands array<long>")
+    return narrow(docs).where("_k is not null and _t is not null").mapInArrow(run, f"id {id_type(docs)}, d1 long, d2 long, bands array<long>, sig binary")
 
 
 def similarity(left: pa.Array, right: pa.Array, width: int = SHINGLE) -> np.ndarray:
@@ -159,35 +167,59 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, width: int = SHIN
     return pairs.join(one, "a").join(two, "b").select("a", "b", compare("_left", "_right").alias("similarity")).where(F.col("similarity") >= least)
 
 
+def near_by_signature(mixed: DataFrame, least: float, size: int) -> DataFrame:
+    """(a, b): pairs of one bucket and different components of ``mixed`` (bucket, id, c, sig, n) whose signatures let their similarity be ``least``."""
+    kind = dict(mixed.dtypes)["id"]
+    floor = least - SIGMAS * np.sqrt(least * (1 - least) / size)
+    enough = (floor * (1 - 1 / 256) + 1 / 256) * size
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                (ids, comp, x), (others, comps, y) = (((row := batch.column(c)[k].values).field("id"), row.field("c").to_numpy(zero_copy_only=False), np.frombuffer(b"".join(row.field("sig").to_pylist()), np.uint8).reshape(len(row), size)) for c in (0, 1))
+                left, right = [], []
+                for i in range(len(ids)):
+                    near = np.flatnonzero(((x[i] == y).sum(axis=1) >= enough) & (comps != comp[i]))
+                    left.append(np.full(len(near), i))
+                    right.append(near)
+                yield pa.record_batch([ids.take(pa.array(np.concatenate(left))), others.take(pa.array(np.concatenate(right)))], names=["a", "b"])
+
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))
+    blocks = stored(mixed.groupBy("bucket", block.alias("block")).agg(F.collect_list(F.struct("id", "c", "sig")).alias("rows")), "blocks")
+    left, right = blocks.toDF("bucket", "bx", "x"), blocks.toDF("bucket", "by", "y")
+    found = left.join(right, "bucket").where("bx <= by").select("x", "y").mapInArrow(compare, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, least: float = 0.5, size: int = SIZE, number: int = BANDS, width: int = SHINGLE) -> DataFrame:
     """(doc_id, group_id) of the documents that have near duplicates; group_id is the smallest id of the group."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
+    arrow_batches(docs.sparkSession)
     sketched = stored(sketch(docs, size, number, width), "sketch")
-    same = sketched.select("id", F.min("id").over(Window.partitionBy("d1", "d2")).alias("rep"))
-    equal = stored(same.where("id <> rep").distinct(), "equal")
-    nodes = sketched.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    least_of = sketched.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    equal = stored(sketched.select("id", "d1", "d2").join(least_of, ["d1", "d2"]).where("id <> rep").distinct(), "equal")
+    nodes = sketched.join(F.broadcast(equal) if small_enough(equal) else equal, ["id", "d1", "d2"], "left_anti")
     entries = nodes.select("id", F.explode("bands").alias("bucket")).distinct()
-    shared = stored(entries.withColumn("hub", F.min("id").over(Window.partitionBy("bucket"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1").select("bucket", "id", "hub"), "buckets")
+    hubs = entries.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(entries.join(stored(hubs, "hubs"), "bucket").select("bucket", "id", "hub", "n"), "buckets")
     star = stored(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "star")
     wanted = stored(shared.select(F.col("id").alias("_w")).distinct(), "wanted")
     texts = narrow(docs).where("_t is not null").join(F.broadcast(wanted) if small_enough(wanted) else wanted, F.col("_k") == F.col("_w"), "left_semi")
     texts = stored(texts.groupBy("_k").agg(F.min("_t").alias("_t")).toDF("id", "text"), "texts")
     edges = stored(verified(star, texts, least, width).select("a", "b"), "edges")
     found = components(edges)
-    comp = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("c"))
-    mixed = comp.withColumn("lo", F.min("c").over(Window.partitionBy("bucket"))).withColumn("hi", F.max("c").over(Window.partitionBy("bucket"))).where("lo < hi").select("bucket", "id", "c")
-    mixed = stored(mixed, "mixed")
-    left, right = mixed.toDF("bucket", "a", "ca"), mixed.toDF("bucket", "b", "cb")
-    rest = left.join(right, "bucket").where("a < b and ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    placed = stored(shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("c")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    mixed = placed.join(stored(mixed, "mixed"), "bucket", "left_semi").join(sketched.join(wanted, F.col("id") == F.col("_w"), "left_semi").select("id", "sig").distinct(), "id")
+    rest = near_by_signature(mixed, least, size).join(star, ["a", "b"], "left_anti")
     more = stored(verified(rest, texts, least, width).select("a", "b"), "more")
-    all_edges = edges.union(more).union(equal.select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    found = components(all_edges)
+    drop(shared, star, wanted, texts, placed)
+    found = components(edges.union(more).union(equal.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
+    drop(sketched, equal, edges, more)
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
 
 
 def keep_one(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents without those that another one of their group stands for."""
     found = groups(docs, least)
-    drop = stored(found.where("doc_id <> group_id").select(F.col("doc_id").alias("_dropped")), "near")
-    return without(docs, drop, F.col("doc_id").cast("long"), "_dropped").select(*docs.columns)
+    gone = stored(found.where("doc_id <> group_id").select(F.col("doc_id").alias(unused(docs, "_dropped"))), "near")
+    return without(docs, gone, named("doc_id").cast(id_type(docs)), unused(docs, "_dropped")).select(*columns_of(docs))
