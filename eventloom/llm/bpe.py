@@ -7,7 +7,8 @@ the halves and of the whole text are in the same state, so the tokens outside th
 a place is doubled until it has one or reaches the end of the span. Decoding concatenates the bytes of the tokens up the same tree.
 
 Defined cases: a null text gives null tokens; an empty one an empty list; special-token strings are ordinary text; equal texts give equal
-tokens; texts are encoded whole whatever their length. Ids, ties and repeated rows play no part: each row is encoded by itself.
+tokens; texts are encoded whole whatever their length. Ids, ties and repeated rows play no part: each row is encoded by itself. Further columns
+pass through whatever their names and types.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import arrow_batches
+from eventloom.llm.common import arrow_batches, named
 from eventloom.session import unused
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -153,14 +154,14 @@ def encode(docs: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataF
     """``docs`` with ``tokens`` instead of ``text``, and their number in ``n_tokens`` (null for a null text)."""
     arrow_batches(docs.sparkSession)
     tokens, n = unused(docs, "tokens"), unused(docs, "n_tokens")
-    coded = docs.withColumn(tokens, encode_udf(path)(F.col(text).cast("string")))
-    return coded.select(*[c for c in docs.columns if c != text], tokens, F.when(F.col(tokens).isNotNull(), F.size(tokens)).alias(n))
+    coded = docs.withColumn(tokens, encode_udf(path)(named(text).cast("string")))
+    return coded.select(*[named(c) for c in docs.columns if c != text], tokens, F.when(F.col(tokens).isNotNull(), F.size(tokens)).alias(n))
 
 
 def decode(coded: DataFrame, tokens: str = "tokens", path: str = VOCABULARY) -> DataFrame:
     """``coded`` with ``text`` instead of ``tokens``."""
     arrow_batches(coded.sparkSession)
-    return coded.select(*[c for c in coded.columns if c != tokens], decode_udf(path)(F.col(tokens)).alias(unused(coded, "text")))
+    return coded.select(*[named(c) for c in coded.columns if c != tokens], decode_udf(path)(named(tokens)).alias(unused(coded, "text")))
 
 
 def encode_checked(docs: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -183,8 +184,8 @@ def encode_checked(docs: DataFrame, text: str = "text", path: str = VOCABULARY)
 
     held = unused(docs, "_coded")
     names = [unused(docs, n) for n in ("tokens", "n_tokens", "exact")]
-    got = docs.withColumn(held, both(F.col(text).cast("string")))
+    got = docs.withColumn(held, both(named(text).cast("string")))
     return got.select(
-        *[c for c in docs.columns if c != text], F.col(f"{held}.tokens").alias(names[0]),
+        *[named(c) for c in docs.columns if c != text], F.col(f"{held}.tokens").alias(names[0]),
         F.when(F.col(f"{held}.tokens").isNotNull(), F.size(f"{held}.tokens")).alias(names[1]), F.col(f"{held}.exact").alias(names[2]),
     )

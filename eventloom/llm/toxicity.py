@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm import kernels as K
-from eventloom.llm.common import arrow_batches, narrow, stored
+from eventloom.llm.common import arrow_batches, columns_of, id_type, named, narrow, stored
 from eventloom.session import unused
 
 GRADES = 3
@@ -164,7 +164,7 @@ def _passes(docs: DataFrame, what: Callable[[np.ndarray, np.ndarray], list[pa.Ar
         for batch in K.slices(batches, "_t"):
             yield pa.record_batch([batch.column(0), batch.column(2), *what(*K.text_parts(batch.column(1)))], names=names)
 
-    return docs.select("_k", "_t", "_y").mapInArrow(run, f"_k long, _y int, {schema}")
+    return docs.select("_k", "_t", "_y").mapInArrow(run, f"_k {dict(docs.dtypes)['_k']}, _y int, {schema}")
 
 
 def _min_hashes(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
@@ -193,14 +193,15 @@ def _lists(text: np.ndarray, n: int, *values: np.ndarray) -> list[pa.Array]:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, seed: int = 7) -> OrdinalModel:
     """Fit to at most ``max_labelled`` labelled rows (those of the smallest hash of id and seed), whose texts are stored once."""
     arrow_batches(docs.sparkSession)
+    kind = id_type(docs)
     sample = (
-        labels.select(F.col("doc_id").cast("long").alias("_k"), F.col("toxic").cast("int").alias("_y"))
+        labels.select(F.col("doc_id").cast(kind).alias("_k"), F.col("toxic").cast("int").alias("_y"))
         .where("_k is not null and _y in (0, 1)")
         .groupBy("_k").agg(F.max("_y").alias("_y"))
         .orderBy(F.xxhash64(F.col("_k"), F.lit(seed)), "_k")
         .limit(max_labelled)
     )
-    rows = stored(narrow(docs).join(F.broadcast(sample), "_k").select("_k", "_t", "_y"), "labelled")
+    rows = stored(narrow(docs).join(F.broadcast(sample), "_k").groupBy("_k").agg(F.min("_t").alias("_t"), F.max("_y").alias("_y")), "labelled")
     got = _passes(rows, _min_hashes, "mins array<long>").toArrow()
     if not got.num_rows:
         return OrdinalModel()
@@ -208,8 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, seed: int
     n, n1 = kept.num_rows, int(kept["_y"].to_numpy().sum())
     if not 0 < n1 < n:
         return OrdinalModel()
-    ids = docs.sparkSession.createDataFrame(pa.table({"_k": pa.array(sorted(set(kept["_k"].to_pylist())), pa.int64())}))
-    rows = rows.join(F.broadcast(ids), "_k", "left_semi").dropDuplicates(["_k"])
+    ids = docs.sparkSession.createDataFrame(pa.table({"_k": pa.array(sorted(kept["_k"].to_pylist()), kept["_k"].type)}))
+    rows = rows.join(F.broadcast(ids), "_k", "left_semi")
 
     def every(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         text, h, _ = counted(data, offsets)
@@ -244,11 +245,11 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", reject_from:
 
     held = unused(docs, "_toxicity")
     names = [unused(docs, n) for n in ("severity", "grade", "rejected")]
-    got = docs.withColumn(held, severity(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    return got.select(*docs.columns, F.col(f"{held}.severity").alias(names[0]), F.col(f"{held}.grade").alias(names[1]), (F.col(f"{held}.severity") >= reject_from).alias(names[2]))
+    got = docs.withColumn(held, severity(F.coalesce(named(text).cast("string"), F.lit(""))))
+    return got.select(*columns_of(docs), F.col(f"{held}.severity").alias(names[0]), F.col(f"{held}.grade").alias(names[1]), (F.col(f"{held}.severity") >= reject_from).alias(names[2]))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, reject_from: float = 0.5) -> DataFrame:
     """The documents whose expected severity is under ``reject_from``, with their own columns."""
     scored = score(docs, fit(docs, labels), reject_from=reject_from)
-    return scored.where(~F.col(scored.columns[-1])).select(*docs.columns)
+    return scored.where(~named(scored.columns[-1])).select(*columns_of(docs))
