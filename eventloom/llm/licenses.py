@@ -1,12 +1,14 @@
 """License scans: fuzzy search for short notices.
 
 A notice of n characters may have up to k edits. Cut into k + 1 parts, at least one part occurs unchanged (pigeonhole), so an Aho-Corasick
-pass over the parts of all notices finds every place where a match can be. There the regex library's bounded-error matching
-``(?:notice){e<=k}`` verifies the edits and gives the span.
+pass over the parts of all notices finds every place where a match can be. Of these a bit-parallel edit distance leaves out the ones without a
+match (most: parts like "under the" are common to many notices). There the regex library's bounded-error matching ``(?:notice){e<=k}`` verifies the
+edits and gives the span.
 
 Defined cases: case is ignored; a null or empty text has no notice; texts are searched whole; offsets are characters from 0, the end
 excluded; of overlapping spans the one with the fewest edits for its length stays (then the longest, the earliest, the first by name);
-repeated rows give their spans each; a null id is reported as null.
+repeated rows give their spans each; a null id is reported as null; ids may be
+whole numbers or texts; further columns play no part.
 """
 
 from __future__ import annotations
@@ -47,11 +49,39 @@ def seeds(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(ends, ends[1:])]
 
 
+class Nearest:
+    """Whether some part of a text is within ``most`` edits of a pattern: the columns of the distance matrix as bits of two numbers (Myers, 1999)."""
+
+    def __init__(self, pattern: str, most: int):
+        self.size, self.most, self.bits = len(pattern), most, {}
+        for k, c in enumerate(pattern):
+            self.bits[c] = self.bits.get(c, 0) | 1 << k
+
+    def __call__(self, text: str, begin: int, end: int) -> bool:
+        full, top, score, most, bits = (1 << self.size) - 1, 1 << self.size - 1, self.size, self.most, self.bits
+        up, down = full, 0
+        for c in text[begin:end]:
+            same = bits.get(c, 0)
+            turn = same | down
+            across = (((same & up) + up) ^ up) | same
+            more, less = down | (full & ~(across | up)), up & across
+            if more & top:
+                score += 1
+            elif less & top:
+                score -= 1
+                if score <= most:
+                    return True
+            more, less = more << 1 & full, less << 1 & full
+            up, down = less | (full & ~(turn | more)), more & turn
+        return False
+
+
 class Finder:
     def __init__(self, notices: dict[str, str], share: float = 0.1):
         self.edits = {name: max(1, int(len(text) * share)) for name, text in notices.items()}
         self.notices = notices
         self.patterns = {name: regex.compile(f"(?b)(?:{regex.escape(text, special_only=True)}){{e<={self.edits[name]}}}") for name, text in notices.items()}
+        self.near = {name: Nearest(text, self.edits[name]) for name, text in notices.items()}
         at: dict[str, list[tuple[str, int]]] = {}
         for name, text in notices.items():
             for offset, part in seeds(text, self.edits[name]):
@@ -83,7 +113,7 @@ class Finder:
                 parts = [(low, min(high, len(lower)))]
                 while parts:  # a match is the one of fewest edits: others can be on either side
                     a, b = parts.pop()
-                    if b - a >= len(self.notices[name]) - self.edits[name] and (m := self.patterns[name].search(lower, a, b)):
+                    if b - a >= len(self.notices[name]) - self.edits[name] and self.near[name](lower, a, b) and (m := self.patterns[name].search(lower, a, b)):
                         found.append((name, m.start(), m.end(), sum(m.fuzzy_counts)))
                         parts += [(a, m.start()), (m.end(), b)]
         return apart(sorted(found, key=lambda f: (f[3] / len(self.notices[f[0]]), f[1] - f[2], f[1], f[0])))
