@@ -186,19 +186,21 @@ def near(source: DataFrame, least: float, probes: int, seed: int) -> DataFrame:
 
     entries = stored(source.where("v is not null").mapInArrow(hashed, f"id {id_kind}, bucket long, own boolean, code long"), "entries")
     hubs = entries.where("own").groupBy("bucket").agg(F.min(F.struct("id", "code")).alias("hub"), F.count(F.lit(1)).alias("n"))
-    held = entries.join(hubs, "bucket").where("n > 1 or id <> hub.id")
     alike = F.bit_count(F.col("code").bitwiseXOR(F.col("hub.code"))) <= most_flips(least)
-    star = held.where("id <> hub.id").where(alike).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+    met = entries.join(hubs, "bucket").where("id <> hub.id or n > 1").select("bucket", "id", "own", "code", "n", "hub.id", (F.col("id") != F.col("hub.id")) & alike)
+    met = stored(met.toDF("bucket", "id", "own", "code", "n", "hub", "alike"), "met")
+    star = stored(met.where("alike").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "star")
     edges = stored(verified(star, source, least), "edges")
     root = components(edges).withColumnRenamed("node", "id")
-    placed = stored(entries.join(root, "id", "left").select("bucket", "id", "own", "code", F.coalesce("root", "id").alias("c")), "placed")
-    open_ = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.when(F.col("own"), 1)).alias("n")).where("lo < hi and n > 1").select("bucket")
+    # buckets of one owner are stars: only others can have a pair that was not compared
+    placed = stored(met.where("n > 1").join(root, "id", "left").select("bucket", "id", "own", "code", F.coalesce("root", "id").alias("c")), "placed")
+    open_ = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
     mixed = placed.join(stored(open_, "open"), "bucket", "left_semi")
     left, right = mixed.where("own").toDF("bucket", "x", "_", "code_x", "cx"), mixed.toDF("bucket", "y", "_", "code_y", "cy")
     alike = F.bit_count(F.col("code_x").bitwiseXOR(F.col("code_y"))) <= most_flips(least)
     rest = left.join(right, "bucket").where("cx <> cy").where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     every = stored(edges.union(verified(rest.join(star, ["a", "b"], "left_anti"), source, least)), "edges")
-    drop(entries, placed, edges)
+    drop(entries, met, star, placed, edges)
     return every
 
 
