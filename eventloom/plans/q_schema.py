@@ -12,6 +12,7 @@ from eventloom.functions import vectors as V
 from eventloom.operators import schema as S
 from eventloom.operators import sequences as Q
 from eventloom.plans.q_population import r, read
+from eventloom.plans.q_sequences import adaptive
 
 TABLES = ["customer", "lineitem", "nation", "orders", "part", "region", "supplier"]
 PROFILED = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"], "nation": ["n_nationkey", "n_name", "n_regionkey"]}
@@ -145,11 +146,6 @@ def spans(t: DataFrame) -> DataFrame:
 
 
 def f15(s, d):
-    """The part of ``f15_whole`` that its SQL asks for."""
-    return spans(timelines(s, d, 20, 30))
-
-
-def f15_whole(s, d):
     return spans(timelines(s, d))
 
 
@@ -157,14 +153,14 @@ def f16(s, d):
     """Salient dimensions of the processed timelines of two or more events."""
     t = timelines(s, d).select("id", F.col("ts") / 86400.0, "embedding", F.col("source").alias("modality"), F.hash("embedding").alias("tie")).toDF("id", "ts", "embedding", "modality", "tie")
     t = t.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("id"))).where("_n >= 2").drop("_n")
-    return Q.process(t, timeline_dims(s, d)).select("id", F.size("representation").alias("dims"), F.size("patterns").alias("salient"), F.size("predictions").alias("steps"))
+    return Q.process(t, timeline_dims(s, d), Q.Config(2)).select("id", F.size("representation").alias("dims"), F.size("patterns").alias("salient"), F.size("predictions").alias("steps"))
 
 
 def f17(s, d):
     t = timelines(s, d).select("id", F.col("ts") / 86400.0, "embedding", F.col("source").alias("modality"), F.hash("embedding").alias("tie")).toDF("id", "ts", "embedding", "modality", "tie")
     n = t.groupBy("id").agg(F.count(F.lit(1)).alias("events"))
     dims = timeline_dims(s, d)
-    return Q.representation(t, dims).join(n, "id").select("id", "events", r(V.norm("embedding", dims), 4).alias("norm")).orderBy(F.desc("events"), "id")
+    return Q.representation(t, dims, Q.Config(2)).join(n, "id").select("id", "events", r(V.norm("embedding", dims), 4).alias("norm")).orderBy(F.desc("events"), "id")
 
 
 def texts(s: SparkSession, d: str) -> DataFrame:
@@ -174,11 +170,6 @@ def texts(s: SparkSession, d: str) -> DataFrame:
 
 
 def f18(s, d):
-    """The part of ``f18_whole`` that its SQL asks for."""
-    return S.joined_text(texts(s, d), 600)
-
-
-def f18_whole(s, d):
     return S.joined_text(texts(s, d), 3000)
 
 
@@ -188,11 +179,6 @@ def text_events(s: SparkSession, d: str, ids: int = 100, events: int = 500) -> D
 
 
 def f19(s, d):
-    """The part of ``f19_whole`` that its SQL asks for."""
-    return text_events(s, d, 10, 20)
-
-
-def f19_whole(s, d):
     return text_events(s, d)
 
 
@@ -231,11 +217,6 @@ def context(s: SparkSession, d: str, who: DataFrame, most: int = 500) -> DataFra
 
 
 def f22(s, d):
-    """The part of ``f22_whole`` that its SQL asks for."""
-    return context(s, d, S.richest(per_customer(s, d), 1).select("id"), 60)
-
-
-def f22_whole(s, d):
     return context(s, d, S.richest(per_customer(s, d), 1).select("id"))
 
 
@@ -244,11 +225,6 @@ def contexts(s: SparkSession, d: str, ids: int = 50) -> DataFrame:
 
 
 def f23(s, d):
-    """The part of ``f23_whole`` that its SQL asks for."""
-    return contexts(s, d, 10)
-
-
-def f23_whole(s, d):
     return contexts(s, d)
 
 
@@ -275,11 +251,6 @@ def indexed(t: DataFrame) -> DataFrame:
 
 
 def f27(s, d):
-    """The part of ``f27_whole`` that its SQL asks for."""
-    return indexed(triples(s, d).where("predicate = 'HAS_CUST_VIA_orders'"))
-
-
-def f27_whole(s, d):
     return indexed(triples(s, d))
 
 
@@ -339,13 +310,35 @@ F12_SQL = f"WITH {GRAMS}, e AS (SELECT * FROM events WHERE value IS NOT NULL) "
 )
 RELATED = "rel AS (SELECT id, kind, other FROM (SELECT *, row_number() OVER (PARTITION BY id, kind ORDER BY other) AS place FROM (SELECT o_custkey AS id, 'part' AS kind, l_partkey AS other FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION SELECT o_custkey, 'supplier', l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION SELECT o_custkey, 'order', o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) WHERE id IN (SELECT id FROM rich)) WHERE place <= 50)"
 CONTEXT = "ctx AS (SELECT id, source, ts, key FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, source, key) AS place FROM (SELECT user_id AS id, 'events' AS source, ts, event_id AS key FROM events WHERE user_id IN (SELECT id FROM rich) UNION ALL SELECT id, 'lineitem', l_shipdate, l_partkey FROM lineitem JOIN rel ON kind = 'order' AND other = l_orderkey)) WHERE place <= {n})"
+#: Timelines of both tables as vectors: 16 dimensions of the text's trigrams, then the number.
+EVENT_VECTORS = """words AS (SELECT DISTINCT event_type AS w FROM events UNION SELECT o_orderstatus FROM orders),
+grams AS (SELECT w, ('0x' || substr(md5(substr(lower(trim(w)), i, 3)), 1, 8))::BIGINT AS h FROM (SELECT w, unnest(range(1, greatest(1, length(trim(w)) - 2) + 1)) AS i FROM words)),
+cells AS (SELECT w, h % 16 AS dim, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS v FROM grams GROUP BY 1, 2),
+every AS (SELECT w, dim, coalesce(v, 0) AS v FROM words CROSS JOIN range(16) r(dim) LEFT JOIN cells USING (w, dim)),
+texts AS (SELECT w, list(v / CASE WHEN n > 0 THEN n ELSE 1 END ORDER BY dim) AS e FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY w)) AS n FROM every) GROUP BY w),
+rows_ AS (SELECT user_id AS id, ts, event_type AS w, value::DOUBLE AS x FROM events UNION ALL SELECT o_custkey, o_orderdate, o_orderstatus, o_totalprice FROM orders),
+events_ AS (SELECT id::VARCHAR AS id, epoch_us(ts) / 1e6 / 86400.0::DOUBLE AS ts, row_number() OVER () AS tie, list_concat(e, [coalesce(sign(x) * ln(1 + abs(x)) / 20.0::DOUBLE, 0)]) AS v FROM rows_ JOIN texts USING (w)),
+counted AS (SELECT id, count(*) AS events FROM events_ GROUP BY id)"""
+
+
+def decayed_vectors(source: str, to: str, by: str) -> str:
+    """CTE ``to``: decayed mean vectors of ``source`` by the columns ``by``, with the newest time."""
+    return f"""{to} AS (SELECT {by}, max(t) AS ts, list(x ORDER BY dim) AS v FROM (SELECT {by}, dim, max(ts) AS t, sum(exp(ts - newest) * x) / sum(exp(ts - newest)) AS x
+  FROM (SELECT {by}, ts, max(ts) OVER (PARTITION BY {by}) AS newest, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM {source}) GROUP BY {by}, dim) GROUP BY {by})"""
+
+
+REPRESENTED = ",\n".join([
+    EVENT_VECTORS, adaptive("events_", "cut0"), decayed_vectors("cut0", "agg0", "id, win"), "lev0 AS (SELECT id, win AS tie, ts, v FROM agg0)",
+    adaptive("lev0", "cut1"), decayed_vectors("cut1", "agg1", "id, win"), "lev1 AS (SELECT id, win AS tie, ts, v FROM agg1)", decayed_vectors("lev1", "rep", "id"),
+])
+
 NEAR = "near AS (SELECT node, neighbour, row_number() OVER (PARTITION BY node ORDER BY md5('42|' || node || '|' || neighbour)) AS place FROM (SELECT subject_id AS node, object_id AS neighbour FROM tri UNION SELECT object_id, subject_id FROM tri))"
 
 QUERIES = {
     "f01_profile": f01, "f02_key_candidates": f02, "f03_foreign_keys": f03, "f04_size_buckets": f04, "f05_domains": f05, "f06_fingerprint": f06, "f07_snapshot": f07, "f08_key_filter": f08,
-    "f09_catalog": f09, "f10_temporal_tables": f10, "f11_entity_types": f11, "f12_value_encoders": f12, "f13_projection": f13, "f14_richest": f14, "f15_timelines": f15, "f15_timelines_whole": f15_whole,
-    "f16_process_timelines": f16, "f17_timeline_summary": f17, "f18_row_text": f18, "f18_row_text_whole": f18_whole, "f19_text_events": f19, "f19_text_events_whole": f19_whole, "f20_bridges": f20, "f21_related": f21, "f22_context": f22, "f22_context_whole": f22_whole, "f23_contexts": f23, "f23_contexts_whole": f23_whole,
-    "f24_triples": f24, "f25_numeric_triples": f25, "f26_ontology": f26, "f27_dictionary": f27, "f27_dictionary_whole": f27_whole, "f28_ontology_match": f28, "f29_hops": f29, "f30_widths": f30, "f31_json": f31, "f32_one_timeline": f32,
+    "f09_catalog": f09, "f10_temporal_tables": f10, "f11_entity_types": f11, "f12_value_encoders": f12, "f13_projection": f13, "f14_richest": f14, "f15_timelines": f15,
+    "f16_process_timelines": f16, "f17_timeline_summary": f17, "f18_row_text": f18, "f19_text_events": f19, "f20_bridges": f20, "f21_related": f21, "f22_context": f22, "f23_contexts": f23,
+    "f24_triples": f24, "f25_numeric_triples": f25, "f26_ontology": f26, "f27_dictionary": f27, "f28_ontology_match": f28, "f29_hops": f29, "f30_widths": f30, "f31_json": f31, "f32_one_timeline": f32,
     "e42_node_time": e42,
 }
 
@@ -364,17 +357,19 @@ SQL = {
     "f12_value_encoders": F12_SQL,
     "f13_projection": "SELECT vec_id, h % 16 AS dim, round(sum(CASE WHEN (h >> 16) & 1 = 1 THEN x ELSE -x END), 5) AS val FROM (SELECT vec_id, x, (i * 2654435761::BIGINT) & 4294967295 AS h FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)) GROUP BY 1, 2 UNION ALL SELECT vec_id, dim, 0.0 FROM embeddings, range(16) t(dim) WHERE dim NOT IN (SELECT ((i * 2654435761::BIGINT) & 4294967295) % 16 FROM range(1, 65) u(i))",
     "f14_richest": f"WITH {WHO.format(n=25)} SELECT * FROM rich",
-    "f15_timelines": f"WITH {WHO.format(n=20)}, ev AS (SELECT user_id AS id, epoch_us(ts) / 1e6 AS t, 'events' AS source FROM events UNION ALL SELECT o_custkey, epoch_us(o_orderdate) / 1e6, 'orders' FROM orders), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t DESC, source) AS place FROM ev WHERE id IN (SELECT id FROM rich)) WHERE place <= 30) SELECT id::VARCHAR AS id, count(*) AS events, round((max(t) - min(t)) / 86400.0::DOUBLE, 4) AS span_days, count(DISTINCT source) AS sources FROM k GROUP BY 1",
-    "f18_row_text": f"WITH l AS (SELECT user_id AS id, ts, event_id AS tie, {LINE} AS line FROM events), k AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY id ORDER BY ts DESC, tie ROWS UNBOUNDED PRECEDING) AS size FROM l) SELECT id, string_agg(line, chr(10) ORDER BY ts, tie) AS text FROM k WHERE size <= 601 GROUP BY 1",
-    "f19_text_events": f"WITH {WHO.format(n=10)} SELECT id, line FROM (SELECT user_id AS id, {LINE} AS line, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS place FROM events WHERE user_id IN (SELECT id FROM rich)) WHERE place <= 20",
+    "f15_timelines": "WITH ev AS (SELECT user_id AS id, epoch_us(ts) / 1e6 AS t, 'events' AS source FROM events UNION ALL SELECT o_custkey, epoch_us(o_orderdate) / 1e6, 'orders' FROM orders), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t DESC, source) AS place FROM ev) WHERE place <= 5000) SELECT id::VARCHAR AS id, count(*) AS events, round((max(t) - min(t)) / 86400.0::DOUBLE, 4) AS span_days, count(DISTINCT source) AS sources FROM k GROUP BY 1",
+    "f16_process_timelines": f"WITH {REPRESENTED}, z AS (SELECT id, abs(x - avg(x) OVER p) / nullif(stddev_pop(x) OVER p, 0) AS z FROM (SELECT id, unnest(v) AS x FROM rep) WINDOW p AS (PARTITION BY id)), h AS (SELECT id, count(*) FILTER (z > 1.5) AS hits FROM z GROUP BY id) SELECT id, 17::INTEGER AS dims, CASE WHEN hits < 2 THEN 5 ELSE hits END::INTEGER AS salient, 3::INTEGER AS steps FROM h JOIN counted USING (id) WHERE events >= 2",
+    "f17_timeline_summary": f"WITH {REPRESENTED} SELECT id, events, round(sqrt(list_inner_product(v, v)), 4) AS norm FROM rep JOIN counted USING (id)",
+    "f18_row_text": f"WITH l AS (SELECT user_id AS id, ts, event_id AS tie, {LINE} AS line FROM events), k AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY id ORDER BY ts DESC, tie ROWS UNBOUNDED PRECEDING) AS size FROM l) SELECT id, string_agg(line, chr(10) ORDER BY ts, tie) AS text FROM k WHERE size <= 3001 GROUP BY 1",
+    "f19_text_events": f"WITH {WHO.format(n=100)} SELECT id, line FROM (SELECT user_id AS id, {LINE} AS line, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS place FROM events WHERE user_id IN (SELECT id FROM rich)) WHERE place <= 500",
     "f20_bridges": "SELECT * FROM (VALUES ('lineitem', 'l_orderkey,l_partkey,l_suppkey'), ('orders', 'o_custkey,o_orderkey')) t(\"table\", entities)",
     "f21_related": f"WITH {WHO.format(n=5)}, {RELATED} SELECT * FROM rel",
-    "f22_context": f"WITH {WHO.format(n=1)}, {RELATED}, {CONTEXT.format(n=60)} SELECT * FROM ctx",
-    "f23_contexts": f"WITH {WHO.format(n=10)}, {RELATED}, {CONTEXT.format(n=500)} SELECT id, count(*) AS events, count(DISTINCT source) AS sources, max(ts) AS newest FROM ctx GROUP BY 1",
+    "f22_context": f"WITH {WHO.format(n=1)}, {RELATED}, {CONTEXT.format(n=500)} SELECT * FROM ctx",
+    "f23_contexts": f"WITH {WHO.format(n=50)}, {RELATED}, {CONTEXT.format(n=500)} SELECT id, count(*) AS events, count(DISTINCT source) AS sources, max(ts) AS newest FROM ctx GROUP BY 1",
     "f24_triples": f"WITH {TRIPLE_SQL} SELECT subject_id, predicate, object_id, round(t_epoch, 3) AS t_epoch FROM tri",
     "f25_numeric_triples": f"WITH {TRIPLE_SQL} SELECT predicate, count(*) AS n, round(sum(numeric_value), 1) AS total FROM tri GROUP BY 1",
     "f26_ontology": "SELECT 'PART_' || p_partkey AS node_id, 'PART' AS entity_type, concat_ws(' | ', p_name, p_brand, p_type) AS text_payload FROM part UNION ALL SELECT 'REGION_' || r_regionkey, 'REGION', r_name FROM region",
-    "f27_dictionary": f"WITH {TRIPLE_SQL}, t AS (SELECT subject_id, object_id FROM tri WHERE predicate = 'HAS_CUST_VIA_orders'), n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS index FROM (SELECT subject_id AS node FROM t UNION SELECT object_id FROM t)) SELECT subject_id, object_id, a.index AS src, b.index AS dst FROM t JOIN n a ON a.node = subject_id JOIN n b ON b.node = object_id",
+    "f27_dictionary": f"WITH {TRIPLE_SQL}, t AS (SELECT subject_id, object_id FROM tri), n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS index FROM (SELECT subject_id AS node FROM t UNION SELECT object_id FROM t)) SELECT subject_id, object_id, a.index AS src, b.index AS dst FROM t JOIN n a ON a.node = subject_id JOIN n b ON b.node = object_id",
     "f28_ontology_match": f"WITH {TRIPLE_SQL} SELECT 'PART' AS entity_type, count(*) AS matched FROM part WHERE 'PART_' || p_partkey IN (SELECT object_id FROM tri)",
     "f29_hops": f"WITH {TRIPLE_SQL}, {NEAR}, h0 AS (SELECT DISTINCT object_id AS node FROM tri WHERE predicate = 'HAS_CUST_VIA_orders' ORDER BY 1 LIMIT 5), h1 AS (SELECT DISTINCT neighbour AS node FROM near JOIN h0 USING (node) WHERE place <= 3 AND neighbour NOT IN (SELECT node FROM h0)), h2 AS (SELECT DISTINCT neighbour AS node FROM near JOIN h1 USING (node) WHERE place <= 2 AND neighbour NOT IN (SELECT node FROM h0 UNION SELECT node FROM h1)) SELECT node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2",
     "f30_widths": "SELECT * FROM (VALUES ('event_id', 1), ('ts', 6), ('user_id', 1), ('event_type', 16), ('value', 1), ('props', 16)) t(\"column\", dims)",
