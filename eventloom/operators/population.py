@@ -1,21 +1,84 @@
 """Analytics over populations of embedded entities: centroids, anomalies, coherence, drift, trajectories, scores.
 
-Centroids are plain aggregates, one sum for each dimension, so they combine on the map side; they are few (one a group) and joined back.
+Centroids are sums of batches in numpy, one row a group and partition, that a small aggregate adds up by dimension; they are few (one a group) and
+joined back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import vectors as V
+from eventloom.session import reach
+
+#: Groups that a partition sums before it sends them on.
+HELD = 4096
+
+
+def summed(df: DataFrame, d: int, by: tuple[str, ...], vector: str, what: Callable[[np.ndarray], np.ndarray] = lambda x: x.sum(0)) -> DataFrame:
+    """(by..., n, at, m, x): for each group its rows ``n``, and by place the sum ``x`` of ``what`` over its ``m`` vectors of length ``d``.
+
+    Each partition adds up its batches in numpy, so that rows never leave it, nor is an expression unrolled over the dimensions. A group without a
+    vector has a null place.
+    """
+    reach(df.sparkSession)
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(vector).cast("array<double>").alias("_v"))
+    fields = [rows.schema[k] for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            lengths = batch.column(len(keys)).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            table = pa.table([*batch.columns[: len(keys)], pa.array(np.arange(batch.num_rows))], names=[*keys, "_i"])
+            groups = table.group_by(keys).aggregate([("_i", "list")]) if keys else pa.table({"_i_list": [list(range(batch.num_rows))]})
+            for key, numbers in zip(zip(*(groups[k].to_pylist() for k in keys)) if keys else [()], groups["_i_list"]):
+                numbers = numbers.values.to_numpy()
+                whole = numbers[lengths[numbers] == d]
+                one = held.setdefault(key, [0, 0, None])
+                one[0] += len(numbers)
+                if len(whole):
+                    part = what(batch.column(len(keys)).take(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).reshape(len(whole), d))
+                    one[1], one[2] = one[1] + len(whole), part if one[2] is None else one[2] + part
+            if len(held) > HELD:
+                yield flush(held, batch.schema)
+                held = {}
+        if held:
+            yield flush(held, batch.schema)
+
+    def flush(held: dict[tuple, list], schema: pa.Schema) -> pa.RecordBatch:
+        columns = [pa.array([key[i] for key in held], schema.field(k).type) for i, k in enumerate(keys)]
+        n, m, parts = zip(*held.values())
+        return pa.record_batch([*columns, pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(parts, pa.list_(pa.float64()))], names=[*keys, "n", "m", "part"])
+
+    schema = ", ".join([*(f"{k} {f.dataType.simpleString()}" for k, f in zip(keys, fields)), "n long, m long, part array<double>"])
+    parts = rows.mapInArrow(run, schema).select(*keys, "n", "m", F.posexplode_outer("part").alias("at", "x"))
+    # rows of a partition without vectors of a group count at every place of the others
+    added = parts.groupBy(*keys, "at").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("x").alias("x"))
+    return added.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "n", "at", "m", "x")
+
+
+def in_places(sums: DataFrame, *by: str, value: Column | None = None) -> DataFrame:
+    """(by..., n, m, values): the sums of ``summed`` as one array a group; null without vectors."""
+    value = F.col("x") if value is None else value
+    null = F.col("at").isNull()
+    many = sums.groupBy(*by).agg(
+        (F.coalesce(F.max(F.when(~null, F.col("n"))), F.lit(0)) + F.coalesce(F.max(F.when(null, F.col("n"))), F.lit(0))).alias("n"), F.coalesce(F.max(F.when(~null, F.col("m"))), F.lit(0)).alias("m"),
+        F.transform(F.array_sort(F.collect_list(F.when(~null, F.struct("at", value.alias("x"))))), lambda s: s["x"]).alias("values"),
+    )
+    return many.withColumn("values", F.when(F.col("m") > 0, F.col("values")))
 
 
 def centroids(df: DataFrame, d: int, *by: str, vector: str = "embedding", least: int = 1) -> DataFrame:
-    """(by..., n, centroid) of the groups of at least ``least`` members."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), V.mean(vector, d).alias("centroid")).where(F.col("n") >= least)
+    """(by..., n, centroid) of the groups of at least ``least`` members. Null vectors and those of another length count as members only."""
+    got = in_places(summed(df, d, by, vector), *by, value=F.col("x") / F.col("m"))
+    return got.where(F.col("n") >= least).select(*by, "n", F.col("values").alias("centroid"))
 
 
 def distances(df: DataFrame, d: int, *by: str, vector: str = "embedding") -> DataFrame:
@@ -81,7 +144,7 @@ def trajectories(df: DataFrame, entity: str, order: list[str], vector: str = "em
 
 def gravity(df: DataFrame, d: int, by: str, vector: str = "embedding", least: int = 5, most: int = 20) -> DataFrame:
     """(by, n, pull, length): class centroid minus the global one, for the ``most`` largest classes of at least ``least``."""
-    whole = df.agg(V.mean(vector, d).alias("g"))
+    whole = mean_of(df, d, vector=vector, name="g").select("g")
     classes = centroids(df, d, by, vector=vector, least=least).orderBy(F.desc("n"), by).limit(most)
     pulled = classes.crossJoin(F.broadcast(whole)).withColumn("pull", V.sub("centroid", "g"))
     return pulled.select(by, "n", "pull", V.norm("pull", d).alias("length"))
@@ -90,7 +153,7 @@ def gravity(df: DataFrame, d: int, by: str, vector: str = "embedding", least: in
 def mean_of(df: DataFrame, d: int, condition: Column | None = None, vector: str = "embedding", name: str = "centre") -> DataFrame:
     """One row: the mean vector of the rows that meet the condition."""
     rows = df.where(condition) if condition is not None else df
-    return rows.agg(V.mean(vector, d).alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
+    return in_places(summed(rows, d, (), vector), value=F.col("x") / F.col("m")).select(F.col("values").alias(name), F.col("n").alias(f"n_{name}"))
 
 
 def counterfactual(vector: Column | str, origin: Column | str, target: Column | str) -> Column:
@@ -116,14 +179,12 @@ def signed_log(x: Column) -> Column:
 def covariance_penalty(df: DataFrame, d: int, vector: str = "embedding", squared: bool = False) -> DataFrame:
     """One row: the sum of squared off-diagonal sample covariances over d (or d squared).
 
-    One aggregate of all products: d (d - 1) / 2 sums, combined on the map side.
+    Partitions send the sums and the products of their vectors, d (d + 1) numbers.
     """
-    x = F.col(vector)
-    pairs = [(i, j) for i in range(d) for j in range(i)]
-    sums = df.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(x[i].cast("double")) for i in range(d)]).alias("s"), F.array(*[F.sum(x[i].cast("double") * x[j].cast("double")) for i, j in pairs]).alias("p"))
-    i, j = F.array(*[F.lit(a) for a, _ in pairs]), F.array(*[F.lit(b) for _, b in pairs])
-    cov = F.transform("p", lambda v, k: (v - F.col("s")[i[k]] * F.col("s")[j[k]] / F.col("n")) / (F.col("n") - 1))
-    return sums.select((2 * F.aggregate(cov, F.lit(0.0), lambda t, c: t + c * c) / (d * d if squared else d)).alias("penalty"))
+    one = in_places(summed(df, d, (), vector, lambda x: np.concatenate([x.sum(0), (x.T @ x).ravel()])))
+    sums = one.select("m", F.slice("values", 1, d).alias("s"), F.slice("values", d + 1, d * d).alias("p"))
+    cov = F.transform("p", lambda v, k: F.when(k % (d + 1) == 0, 0.0).otherwise((v - F.col("s")[F.floor(k / d).cast("int")] * F.col("s")[k % d] / F.col("m")) / (F.col("m") - 1)))
+    return sums.select((F.aggregate(cov, F.lit(0.0), lambda t, c: t + c * c) / (d * d if squared else d)).alias("penalty"))
 
 
 def variance_explained(df: DataFrame, value: str, actor: str, cluster: str, least_actors: int = 2) -> DataFrame:

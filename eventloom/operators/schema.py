@@ -78,8 +78,10 @@ def foreign_keys(tables: dict[str, DataFrame], pattern: str = IDS, sample: int =
         df.select(F.lit(plain(c)).alias("name"), F.lit(f"{t}.{c}").alias("column"), F.col(c).cast("string").alias("value")).where("value is not null").distinct()
         for t, df in sorted(tables.items()) for c in df.columns if re.search(pattern, c, re.I)
     ))
-    w = Window.partitionBy("column")
-    kept = values.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy(F.md5("value"), "value"))).where((F.col("place") <= sample) & (F.col("n") > 1))
+    n = values.groupBy("column").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # the first of each column are picked in each partition before they meet
+    first = values.withColumn("place", F.row_number().over(Window.partitionBy("column").orderBy(F.md5("value"), "value"))).where(F.col("place") <= sample)
+    kept = stored(first.join(n, "column").select("name", "column", "value", "n"), "keys")
     a, b = kept.select("name", F.col("column").alias("parent"), "value", F.col("n").alias("na")), kept.select("name", F.col("column").alias("child"), "value", F.col("n").alias("nb"))
     pairs = a.join(b, ["name", "value"]).where("na < nb or (na = nb and parent < child)")
     least = F.least(F.lit(sample), F.col("na"), F.col("nb"))

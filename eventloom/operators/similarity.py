@@ -1,7 +1,7 @@
 """Entity similarity and vector search: relationship discovery, nearest neighbours, similarity joins, evolutionary search.
 
-All-pairs work is done block by block: each partition packs its vectors into matrices, blocks are paired by a cross join of the packed rows
-(a few per partition), and each pair is one matrix product in numpy. No side is broadcast whole and no row is compared in Python.
+All-pairs work is done block by block: each partition packs its vectors into matrices of one width and kind, the packed rows (a few per
+partition) are joined on width and, where it matters, kind, and each pair is one matrix product in numpy. No side is broadcast whole.
 """
 
 from __future__ import annotations
@@ -12,28 +12,40 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import vectors as V
-from eventloom.session import reach
+from eventloom.session import reach, stored
 
-BLOCK = 4096
-PACKED = "ids array<long>, kinds array<string>, width int, data binary"
+#: Vectors and bytes of a block at most.
+BLOCK, BLOCK_BYTES = 4096, 4 << 20
+PACKED = "ids array<long>, kind string, width int, data binary"
 
 
-def packed(df: DataFrame, key: str, vector: str, kind: str | None = None, block: int = BLOCK) -> DataFrame:
-    """Blocks of up to ``block`` unit vectors of one partition; zero vectors stay zero."""
+def unit_matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length at length 1; zero vectors stay zero."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
+def packed(df: DataFrame, key: str, vector: str, kind: str | None = None) -> DataFrame:
+    """Blocks of unit vectors of one partition that have the same length and kind; zero vectors stay zero, null and empty ones are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                rows = part.column(2)
-                width = len(rows[0]) if len(rows) else 0
-                x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), width)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-                yield pa.record_batch([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), pa.array([width], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["ids", "kinds", "width", "data"])
+            lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            tags = batch.column(1).dictionary_encode()
+            codes = tags.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for width, code in sorted(set(zip(lengths.tolist(), codes.tolist()))):
+                rows = np.flatnonzero((lengths == width) & (codes == code))
+                step = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(width, 1))))
+                for at in range(0, len(rows) if width else 0, step):
+                    part = pa.array(rows[at : at + step])
+                    x = unit_matrix(batch.column(2).take(part))
+                    tag = None if code < 0 else tags.dictionary[code].as_py()
+                    yield pa.record_batch([pa.array([batch.column(0).take(part).to_pylist()], pa.list_(pa.int64())), pa.array([tag], pa.string()), pa.array([width], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["ids", "kind", "width", "data"])
 
     reach(df.sparkSession)
     tag = F.col(kind).cast("string") if kind else F.lit("")
@@ -41,77 +53,146 @@ def packed(df: DataFrame, key: str, vector: str, kind: str | None = None, block:
     return rows.mapInArrow(run, PACKED)
 
 
-def paired(left: DataFrame, right: DataFrame, pick: Callable, schema: str) -> DataFrame:
-    """Every pair of blocks, reduced by ``pick(similarities, ids, kinds, ids, kinds)`` to a record batch."""
+def paired(left: DataFrame, right: DataFrame, pick: Callable, schema: str, on: Column | None = None) -> DataFrame:
+    """The pairs of blocks of one width (and for which ``on`` holds of kind and kind2), reduced by ``pick(similarities, ids, ids2)`` to record batches.
+
+    A pair of blocks is one row of at most twice ``BLOCK_BYTES``; Arrow batches are bounded by bytes too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, kinds, width, data, ids2, kinds2, width2, data2 = (c[i].as_py() for c in batch.columns)
-                a, b = (np.frombuffer(x).reshape(-1, w) for x, w in ((data, width), (data2, width2)))
-                if a.shape[1] == b.shape[1]:
-                    yield pick(a @ b.T, np.array(ids), np.array(kinds), np.array(ids2), np.array(kinds2))
-
-    return left.crossJoin(right.toDF("ids2", "kinds2", "width2", "data2")).mapInArrow(run, schema)
+                ids, width, data, ids2, data2 = (c[i].as_py() for c in batch.columns)
+                a, b = (np.frombuffer(x).reshape(-1, width) for x in (data, data2))
+                yield pick(a @ b.T, np.array(ids), np.array(ids2))
+
+    key, size = "spark.sql.execution.arrow.maxBytesPerBatch", 4 * BLOCK_BYTES
+    if not 0 < left.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= size:
+        left.sparkSession.conf.set(key, str(size))
+    other = right.toDF("ids2", "kind2", "width2", "data2")
+    met = left.join(other, F.col("width") == F.col("width2") if on is None else (F.col("width") == F.col("width2")) & on)
+    return met.select("ids", "width", "data", "ids2", "data2").mapInArrow(run, schema)
+
+
+def largest(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` largest of each row and what is within 2e-10 of the last; of many ties those of the smallest ids."""
+    if s.shape[1] <= k:
+        return np.nonzero(np.isfinite(s))
+    keep = (s >= np.partition(s, -k, axis=1)[:, -k][:, None] - 2e-10) & np.isfinite(s)
+    for i in np.flatnonzero(keep.sum(1) > 4 * k):
+        first = np.lexsort((ids, -np.round(s[i], 10)))[:k]
+        keep[i] = False
+        keep[i, first] = np.isfinite(s[i, first])
+    return np.nonzero(keep)
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, key: str = "id", vector: str = "embedding", kind: str | None = None, same_kind: bool = False, target: str | None = None) -> DataFrame:
     """(query, neighbour, similarity, place): the ``k`` nearest by cosine, the query's own id left out, ties by id.
 
-    ``same_kind`` compares within a kind only; ``target`` takes neighbours of that kind only.
+    ``same_kind`` compares within a kind only; ``target`` takes neighbours of that kind only: only such blocks are paired. Each pair of blocks keeps
+    its ``k`` best a query, so what is shuffled is queries times blocks times ``k``.
     """
 
-    def pick(s, ids, kinds, ids2, kinds2):
+    def pick(s, ids, ids2):
         s = np.where(ids[:, None] == ids2[None, :], -np.inf, s)
-        if same_kind:
-            s = np.where(kinds[:, None] == kinds2[None, :], s, -np.inf)
-        if target is not None:
-            s = np.where(kinds2[None, :] == target, s, -np.inf)
-        order = np.argsort(ids2, kind="stable")
-        s, ids2 = s[:, order], ids2[order]
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(s, top, 1).ravel()
-        found = np.isfinite(value)
-        return pa.record_batch([pa.array(np.repeat(ids, top.shape[1])[found]), pa.array(ids2[top].ravel()[found]), pa.array(value[found])], names=["query", "neighbour", "similarity"])
-
-    got = paired(packed(queries, key, vector, kind), packed(corpus, key, vector, kind), pick, "query long, neighbour long, similarity double")
+        i, j = largest(s, ids2, k)
+        return pa.record_batch([pa.array(ids[i]), pa.array(ids2[j]), pa.array(s[i, j])], names=["query", "neighbour", "similarity"])
+
+    if target is not None:
+        corpus = corpus.where(F.col(kind).cast("string") == target)
+    on = F.col("kind") == F.col("kind2") if same_kind else None
+    got = paired(packed(queries, key, vector, kind), packed(corpus, key, vector, kind), pick, "query long, neighbour long, similarity double", on)
     order = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 10)), "neighbour")
     return got.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def all_pairs(left: DataFrame, right: DataFrame, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """(a, b, similarity) of every pair; zero vectors have similarity 0."""
+    """(a, b, similarity) of every pair of vectors of one length; zero vectors have similarity 0."""
 
-    def pick(s, ids, kinds, ids2, kinds2):
+    def pick(s, ids, ids2):
         return pa.record_batch([pa.array(np.repeat(ids, len(ids2))), pa.array(np.tile(ids2, len(ids))), pa.array(s.ravel())], names=["a", "b", "similarity"])
 
     return paired(packed(left, key, vector), packed(right, key, vector), pick, "a long, b long, similarity double")
 
 
 def threshold_join(df: DataFrame, least: float, key: str = "id", vector: str = "embedding", kind: str = "kind") -> DataFrame:
-    """(a, b, similarity) of the pairs a < b of different kinds with a cosine above ``least``."""
+    """(a, b, similarity) of the pairs a < b of different kinds with a cosine above ``least``; blocks of one kind aren't paired."""
 
-    def pick(s, ids, kinds, ids2, kinds2):
-        i, j = np.nonzero((s > least) & (kinds[:, None] != kinds2[None, :]) & (ids[:, None] < ids2[None, :]))
+    def pick(s, ids, ids2):
+        i, j = np.nonzero((s > least) & (ids[:, None] < ids2[None, :]))
         return pa.record_batch([pa.array(ids[i]), pa.array(ids2[j]), pa.array(s[i, j])], names=["a", "b", "similarity"])
 
     blocks = packed(df, key, vector, kind)
-    return paired(blocks, blocks, pick, "a long, b long, similarity double")
+    return paired(blocks, blocks, pick, "a long, b long, similarity double", F.col("kind") != F.col("kind2"))
+
+
+def entity_blocks(entities: DataFrame) -> DataFrame:
+    """Blocks of entities: ids, categories, and for each modality and width who has it and the unit vectors in a matrix (zeros for the others)."""
+    kind = dict(entities.dtypes)["entity_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = 0
+            while n < batch.num_rows:
+                part, at = batch.slice(n, 512), {}
+                n += part.num_rows
+                for i, vectors in enumerate(part.column(2)):
+                    for v in sorted(vectors.as_py(), key=lambda v: (v["modality"], v["embedding"])):
+                        at.setdefault((v["modality"], len(v["embedding"])), {}).setdefault(i, v["embedding"])  # of repeated ones the smallest
+                masks, data = [], []
+                for (_, width), held in at.items():
+                    x, mask = np.zeros((part.num_rows, width)), np.zeros(part.num_rows, bool)
+                    rows = list(held)
+                    x[rows], mask[rows] = list(held.values()), True
+                    masks.append(mask.tobytes())
+                    data.append((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)).tobytes())
+                one = lambda c: pa.array([c.to_pylist()], pa.list_(c.type))
+                yield pa.record_batch(
+                    [one(part.column(0)), one(part.column(1)), pa.array([[m for m, _ in at]], pa.list_(pa.string())), pa.array([[w for _, w in at]], pa.list_(pa.int32())), pa.array([masks], pa.list_(pa.binary())), pa.array([data], pa.list_(pa.binary()))],
+                    names=["ids", "categories", "modalities", "widths", "masks", "data"],
+                )
+
+    vectors = F.collect_list(F.when(F.col("embedding").isNotNull(), F.struct(F.col("modality").cast("string").alias("modality"), F.col("embedding").cast("array<double>").alias("embedding"))))
+    grouped = entities.groupBy("entity_id").agg(F.max("category").cast("string").alias("category"), vectors.alias("vectors"))
+    return grouped.mapInArrow(run, f"ids array<{kind}>, categories array<string>, modalities array<string>, widths array<int>, masks array<binary>, data array<binary>")
 
 
 def relationships(entities: DataFrame, least: float = 0.5, ids: DataFrame | None = None, bonus: float = 0.1) -> DataFrame:
     """(entity_id, related_entity_id, similarity) over (entity_id, modality, embedding, category).
 
     The mean cosine over shared modalities, plus ``bonus`` (to 1 at most) for equal known categories; entities that share none are skipped.
-    ``ids`` (one column) restricts the left side.
+    ``ids`` (one column) restricts the left side. Entities are grouped once; each pair of blocks is a matrix product a modality, added up in place, and
+    only pairs of at least ``least`` leave it.
     """
-    d = V.dims(entities, "embedding")
-    left = entities if ids is None else entities.join(ids.toDF("entity_id"), "entity_id", "left_semi")
-    a = left.select("modality", F.col("entity_id").alias("a"), F.col("embedding").alias("va"), F.col("category").alias("ca"))
-    b = entities.select("modality", F.col("entity_id").alias("b"), F.col("embedding").alias("vb"), F.col("category").alias("cb"))
-    mean = a.join(b, "modality").where("a <> b").groupBy("a", "b").agg(F.avg(V.cosine("va", "vb", d)).alias("s"), F.max("ca").alias("ca"), F.max("cb").alias("cb"))
-    s = F.when(F.col("ca") == F.col("cb"), F.least(F.lit(1.0), F.col("s") + bonus)).otherwise(F.col("s"))
-    return mean.select(F.col("a").alias("entity_id"), F.col("b").alias("related_entity_id"), s.alias("similarity")).where(F.col("similarity") >= least)
+    reach(entities.sparkSession)
+    kind = dict(entities.dtypes)["entity_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (a, b), sides = (batch.column(k)[i].values for k in (0, 6)), []
+                for k in (0, 6):
+                    names, widths, masks, data = (batch.column(k + c)[i].as_py() for c in (2, 3, 4, 5))
+                    sides.append({(m, w): (np.frombuffer(y, bool).astype(float), np.frombuffer(x).reshape(-1, w)) for m, w, y, x in zip(names, widths, masks, data)})
+                total, shared = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+                for key in sides[0].keys() & sides[1].keys():
+                    (ma, xa), (mb, xb) = sides[0][key], sides[1][key]
+                    total += xa @ xb.T
+                    shared += ma[:, None] * mb[None, :]
+                codes = pa.chunked_array([batch.column(1)[i].values, batch.column(7)[i].values]).dictionary_encode().combine_chunks()
+                codes = np.concatenate([c.indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in (codes.chunks if isinstance(codes, pa.ChunkedArray) else [codes])])
+                ca, cb = codes[: len(a)], codes[len(a) :]
+                s = np.divide(total, shared, out=np.full(total.shape, -np.inf), where=shared > 0)
+                s = np.where((ca[:, None] == cb[None, :]) & (ca >= 0)[:, None], np.minimum(1.0, s + bonus), s)
+                x, y = np.nonzero(s >= least)
+                left, right = a.take(pa.array(x)), b.take(pa.array(y))
+                other = pc.not_equal(left, right)
+                yield pa.record_batch([left.filter(other), right.filter(other), pa.array(s[x, y]).filter(other)], names=["entity_id", "related_entity_id", "similarity"])
+
+    right = stored(entity_blocks(entities), "entities")
+    left = right if ids is None else stored(entity_blocks(entities.join(ids.toDF("entity_id"), "entity_id", "left_semi")), "entities")
+    met = left.crossJoin(right.toDF(*[f"{c}2" for c in right.columns]))
+    return met.mapInArrow(run, f"entity_id {kind}, related_entity_id {kind}, similarity double")
 
 
 def by_vector(corpus: DataFrame, vector: list[float], k: int, key: str = "id", column: str = "embedding") -> DataFrame:
