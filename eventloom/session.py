@@ -82,6 +82,33 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file under another name and rename it, so that a reader never sees half of it; an existing one stays as it is."""
+    files, target = file_system(spark, path)
+    _, made = file_system(spark, f"{path}.{uuid.uuid4().hex}")
+    out = files.create(made, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not files.rename(made, target):
+        files.delete(made, False)
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    files, target = file_system(spark, path)
+    source = files.open(target)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is missing."""
+    files, target = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(target)) if files.exists(target) else []
+
+
 def at_end(spark: SparkSession, path: str) -> None:
     """Have ``path`` deleted when the driver ends."""
     files, target = file_system(spark, path)

@@ -6,7 +6,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from eventloom.session import reach
 
@@ -34,17 +35,27 @@ class StreamBuffer:
 
 
 def batches(events: DataFrame, count: int, interval: float | None = None) -> DataFrame:
-    """(id, ts, tie, batch): the number of the buffer's batch that each event falls in, by id. The rule restarts at each flush, so an id's
-    events are walked in order; only (ts, tie) go to Python."""
+    """(id, ts, tie, batch): the number of the buffer's batch that each event falls in, by id.
+
+    By number alone it is a window function. With an ``interval`` the rule restarts at each flush: an id's (ts, tie) go to Python, where each step finds a
+    whole batch's end.
+    """
+    rows = events.select("id", "ts", "tie")
+    if interval is None:
+        place = F.row_number().over(Window.partitionBy("id").orderBy("ts", "tie"))
+        return rows.withColumn("batch", F.floor((place - 1) / F.lit(count)))
     reach(events.sparkSession)
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ts", "tie"], kind="stable")
-        ts, out, batch, begin = rows.ts.to_numpy(), np.empty(len(rows), np.int64), 0, 0
-        for i in range(len(ts)):
-            out[i] = batch
-            if i - begin + 1 >= count or interval is not None and ts[i] - ts[begin] >= interval:
-                batch, begin = batch + 1, i + 1
-        return rows.assign(batch=out)
-
-    return events.select("id", "ts", "tie").groupBy("id").applyInPandas(walk, "id string, ts double, tie long, batch long")
+        ts, begins, begin = rows.ts.to_numpy(), [], 0
+        while begin < len(ts):
+            begins.append(begin)
+            after = max(begin, int(np.searchsorted(ts, ts[begin] + interval)))
+            while after > begin and ts[after - 1] - ts[begin] >= interval:  # the sum may be rounded
+                after -= 1
+            begin = min(begin + count, after + 1)
+        sizes = np.diff([*begins, len(ts)])
+        return rows.assign(batch=np.repeat(np.arange(len(begins)), sizes))
+
+    return rows.groupBy("id").applyInPandas(walk, "id string, ts double, tie long, batch long")

@@ -1,4 +1,4 @@
-"""Incremental representations: one state for each key, updated event by event, in memory or in Structured Streaming.
+"""Incremental representations: one state for each key, updated by batches of events, in memory or in Structured Streaming.
 
 The batch operators ``sequences.ema`` and ``sequences.stream_salient`` give the same values without a sequential pass; here the state is kept
 between micro-batches, so that the work follows the new events only. An event that is older than the state's newest one is not dropped: its
@@ -7,7 +7,6 @@ decay is that of no time passed, so it leaves the average as it is and counts in
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,27 +36,33 @@ class Incremental:
     recent: list[np.ndarray] = field(default_factory=list)
 
     def update(self, embedding, ts: float) -> np.ndarray:
-        x = np.asarray(embedding, float)
-        if not self.n:
-            self.rep, self.mean, self.m2, self.last_ts = x.copy(), np.zeros_like(x), np.zeros_like(x), ts
-        else:
-            q = math.exp(-self.alpha * max(0.0, ts - self.last_ts))
-            self.rep = q * self.rep + (1 - q) * x
-            self.last_ts = max(self.last_ts, ts)
-        self.n += 1
-        move = x - self.mean
-        self.mean = self.mean + move / self.n
-        self.m2 = self.m2 + move * (x - self.mean)
-        self.recent_ts.append(ts)
-        self.recent.append(x)
-        del self.recent_ts[: -self.keep], self.recent[: -self.keep]
-        return self.rep
+        return self.update_batch([embedding], [ts])
 
     def update_batch(self, embeddings, times) -> np.ndarray:
-        """The representation after all events, in the order given; no events leave it as it is and give an empty one."""
-        for x, t in zip(embeddings, times):
-            self.update(x, t)
-        return self.rep if len(times) else np.zeros(0)
+        """The representation after all events, in the order given; no events leave it as it is and give an empty one.
+
+        In closed form: with M the newest time so far, the decays telescope, and an event's weight is exp(-alpha (M_last - M)) minus the same with the M
+        before it. Mean and squares are merged with those of the batch.
+        """
+        n = len(times)
+        if not n:
+            return np.zeros(0)
+        x, t = np.asarray(embeddings, float).reshape(n, -1), np.asarray(times, float)
+        newest = np.maximum.accumulate(t if not self.n else np.maximum(t, self.last_ts))
+        left = np.exp(-self.alpha * (newest[-1] - newest))
+        before = np.exp(-self.alpha * (newest[-1] - (self.last_ts if self.n else newest[0])))
+        weight = left - np.concatenate([[before if self.n else 0.0], left[:-1]])
+        if not self.n:
+            self.rep, self.mean, self.m2 = (np.zeros(x.shape[1]) for _ in range(3))
+        self.rep = (before * self.rep if self.n else 0.0) + weight @ x
+        mean, total = x.mean(0), self.n + n
+        move = mean - self.mean
+        self.m2 = self.m2 + ((x - mean) ** 2).sum(0) + move**2 * self.n * n / total
+        self.mean = self.mean + move * n / total
+        self.n, self.last_ts = total, float(newest[-1])
+        self.recent_ts = [*self.recent_ts, *t[-self.keep :].tolist()][-self.keep :]
+        self.recent = [*self.recent, *x[-self.keep :]][-self.keep :]
+        return self.rep
 
     def salient(self, threshold: float = 1.5, fallback: int = 5) -> list[int]:
         """Dimensions more than ``threshold`` sample deviations from the mean; fewer than two: the largest by magnitude."""

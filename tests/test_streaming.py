@@ -147,3 +147,71 @@ def test_event_time_windows(spark, tmp_path):
     got = []
     windowed(stream, "0 seconds").writeStream.outputMode("complete").foreachBatch(lambda b, n: got.extend(b.collect())).option("checkpointLocation", str(tmp_path / "wc")).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(r.n for r in got[-2:]) == [60, 60] and math.isclose(min(r["mean"][0] for r in got[-2:]), 29.5)
+
+
+def test_engine_goes_on_where_it_ended(spark, tmp_path):
+    root, now = f"file://{tmp_path}/engine", [table(spark, FIRST)]
+    make = lambda: TriggerEngine(spark, lambda: now[0], 3, root=root, rules=[Rule("any", "true")], clock=lambda: 50.0, buckets=4)
+    make().poll()
+    now[0] = table(spark, [*FIRST, ("a", 3, [0, 0, 1])])
+    assert len(make().poll()) == 1  # rows since the last poll of an engine that is gone
+    again = make()
+    assert again.mark == 3.0 and again.live().count() == 3 and again.live("a").count() == 3 and again.poll() == []
+    now[0] = table(spark, [*FIRST, ("a", 3, [0, 0, 1]), *[(f"x{k}", 4, [1, 0, 0]) for k in range(8)]])
+    assert len(again.poll()) == 8 and make().live().count() == 27 and make().alerts().count() == 9
+    assert {r.step for r in make().live("x3").collect()} == {1, 2, 3} and make().live("none").count() == 0
+
+
+def test_a_failed_poll_is_done_again(spark, tmp_path, monkeypatch):
+    root, now = f"file://{tmp_path}/engine", [table(spark, FIRST)]
+    engine = TriggerEngine(spark, lambda: now[0], 3, root=root, rules=[Rule("any", "true")], clock=lambda: 50.0)
+    engine.poll()
+    now[0] = table(spark, [*FIRST, ("a", 3, [0, 0, 1])])
+    commit = TriggerEngine._commit
+    monkeypatch.setattr(TriggerEngine, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        engine.poll()
+    monkeypatch.setattr(TriggerEngine, "_commit", commit)
+    engine = TriggerEngine(spark, lambda: now[0], 3, root=root, rules=[Rule("any", "true")], clock=lambda: 50.0)
+    assert engine.alerts().count() == 0 and engine.live().count() == 0
+    assert len(engine.poll()) == 1 and engine.alerts().count() == 1 and engine.live().count() == 3
+
+
+def test_polling_in_the_background_stops(spark):
+    now = [table(spark, FIRST)]
+    engine = TriggerEngine(spark, lambda: now[0], 3)
+    handle = engine.start(0.05)
+    for _ in range(600):
+        if engine.mark:
+            break
+        import time
+
+        time.sleep(0.05)
+    assert engine.mark == 2.0 and handle.running and handle.stop(30) and not handle.running
+
+
+def test_batches_of_any_size_give_one_state():
+    rng = np.random.default_rng(4)
+    x, t = rng.normal(size=(40, 3)), rng.uniform(0, 9, 40)  # late events too
+    one, two = Incremental(0.7, 10), Incremental(0.7, 10)
+    rep, last = x[0], t[0]
+    for v, w in zip(x, t):
+        one.update(v, w)
+    for v, w in zip(x[1:], t[1:]):
+        q = math.exp(-0.7 * max(0.0, w - last))
+        rep, last = q * rep + (1 - q) * v, max(last, w)
+    two.update_batch(x[:13], t[:13])
+    two.update_batch(x[13:], t[13:])
+    assert one.rep == pytest.approx(rep) and two.rep == pytest.approx(rep) and two.last_ts == last and len(two.recent) == 10
+    assert two.m2 / 39 == pytest.approx(x.var(0, ddof=1)) and one.m2 == pytest.approx(two.m2)
+
+
+def test_batches_against_the_buffer(spark):
+    rng = random.Random(9)
+    rows = [(f"u{k % 2}", round(rng.uniform(0, 40), 1), k) for k in range(120)]
+    got = {r.tie: r.batch for r in buffer.batches(spark.createDataFrame(rows, "id string, ts double, tie long"), 7, 3.0).collect()}
+    for i in ("u0", "u1"):
+        held, n = buffer.StreamBuffer(7, 3.0), 0
+        for _, ts, tie in sorted((r for r in rows if r[0] == i), key=lambda r: r[1:]):
+            assert got[tie] == n
+            n += held.add([0], ts) is not None
