@@ -4,11 +4,12 @@ P(grade > k | x) = sigmoid(w.x - t_k) for ordered thresholds t_0 <= t_1 <= ...;
 of a text is the sum of these probabilities. Features are log(1 + count) of the words, and of the stems (the first ``STEMS`` bytes) of longer
 words, that go with toxic labels (64-bit hashes, no dictionary). Words and stems are counted in Spark; the driver gets the chosen ones only.
 
-The labels table has only 0 or 1. Grades are made from it: 0 for clean ones; toxic ones get 1, 2 or 3 by the terciles of how many of their
-words are feature words (1 if none is).
+Labels may be grades, 0 (clean) to ``GRADES``, and are fitted as they are. Where they only say 0 or 1, grades are made for the toxic rows: each half of
+the rows is scored by a regression of the toxic against the clean rows of the other half, and the terciles of these scores are grades 1 to 3. So a
+row's grade says how surely rows that it had no part in give it away; it is no human judgement of severity.
 
-Defined cases: a null or empty text has no features and gets the severity of a text without toxic words; null labels or ids are not trained
-on; without toxic or without clean labels the model has no features and every severity is 0; repeated rows are scored alike, each; texts are
+Defined cases: a null or empty text has no features and gets the severity of a text without toxic words; null labels or ids, and labels that are no
+grade, are not trained on; of an id's labels the highest counts, of its texts (if rows repeat it) the smallest; ids may be whole numbers or texts; without toxic or without clean labels the model has no features and every severity is 0; repeated rows are scored alike, each; texts are
 scored whole whatever their length. Columns that an output would repeat keep their name and the new one gets underscores after it.
 """
 
@@ -87,10 +88,10 @@ class OrdinalModel:
         return np.bincount(text, np.log1p(counts) * self.weights[np.searchsorted(self.words, hashes)], n)
 
 
-def _fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.ndarray, p: int, l2: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+def _fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.ndarray, p: int, l2: float, steps: int, grades: int = GRADES) -> tuple[np.ndarray, np.ndarray]:
     """Adam on the penalised log-likelihood of the cumulative-link model; thresholds are t_0 + cumulated exp(.)."""
     n, weights = len(grade), np.zeros(p)
-    above = np.array([np.clip((grade > k).mean(), 1e-4, 1 - 1e-4) for k in range(GRADES)])
+    above = np.array([np.clip((grade > k).mean(), 1e-4, 1 - 1e-4) for k in range(grades)])
     start = -np.log(above / (1 - above))
     free = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     params = np.concatenate([weights, free])
@@ -105,11 +106,11 @@ def _fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np
         i = np.arange(n)
         prob = np.maximum(edges[i, grade] - edges[i, grade + 1], 1e-12)
         by_score = (slope[i, grade] - slope[i, grade + 1]) / prob
-        by_t = np.zeros((n, GRADES + 2))
+        by_t = np.zeros((n, grades + 2))
         by_t[i, grade] -= slope[i, grade] / prob
         by_t[i, grade + 1] += slope[i, grade + 1] / prob
         g_t = by_t[:, 1:-1].sum(0)
-        grad = np.concatenate([np.bincount(cols, vals * by_score[rows], p), [g_t.sum()], [g_t[k + 1 :].sum() * gaps[k] for k in range(GRADES - 1)]]) / n
+        grad = np.concatenate([np.bincount(cols, vals * by_score[rows], p), [g_t.sum()], [g_t[k + 1 :].sum() * gaps[k] for k in range(grades - 1)]]) / n
         grad[:p] -= l2 * w
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         params = params + 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -123,15 +124,28 @@ def g2(df: Column, k1: Column, n: int, n1: int) -> Column:
     return F.when(share > rate, 2 * (toxic + clean)).otherwise(0.0)
 
 
-def fit_counts(doc: np.ndarray, word: np.ndarray, count: np.ndarray, toxic: np.ndarray, words: np.ndarray, l2: float = 1e-4, steps: int = 400) -> OrdinalModel:
-    """Fit to counts of the feature ``words`` (sorted): ``doc``, ``word``, ``count`` in parallel; ``toxic`` is the label of each document."""
+def out_of_fold(doc: np.ndarray, cols: np.ndarray, vals: np.ndarray, toxic: np.ndarray, p: int, l2: float, steps: int) -> np.ndarray:
+    """The score of each row by a fit of the toxic against the clean rows of the other half (even against odd places)."""
+    n, score = len(toxic), np.zeros(len(toxic))
+    for half in (0, 1):
+        train = np.arange(n) % 2 != half
+        if 0 < toxic[train].sum() < train.sum():
+            number = np.cumsum(train) - 1
+            mine = train[doc]
+            weights, _ = _fit_ordinal(number[doc[mine]], cols[mine], vals[mine], toxic[train], p, l2, steps, 1)
+            score += np.where(train, 0.0, np.bincount(doc, vals * weights[cols], n))
+    return score
+
+
+def fit_counts(doc: np.ndarray, word: np.ndarray, count: np.ndarray, label: np.ndarray, words: np.ndarray, l2: float = 1e-4, steps: int = 400) -> OrdinalModel:
+    """Fit to counts of the feature ``words`` (sorted): ``doc``, ``word``, ``count`` in parallel; ``label`` of each document, grades or 0 and 1."""
     cols, vals = np.searchsorted(words, word), np.log1p(count)
-    hits = np.bincount(doc, count, len(toxic))
-    grade = toxic.astype(np.int64)
-    graded = (toxic == 1) & (hits > 0)
-    if graded.any():
-        low, high = np.quantile(hits[graded], [1 / 3, 2 / 3])
-        grade[graded] = 1 + (hits[graded] > low) + (hits[graded] > high)
+    grade = label.astype(np.int64)
+    toxic = grade > 0
+    if grade.max() == 1:
+        score = out_of_fold(doc, cols, vals, toxic.astype(np.int64), len(words), l2, steps // 2)
+        low, high = np.quantile(score[toxic], [1 / 3, 2 / 3])
+        grade[toxic] = 1 + (score[toxic] > low) + (score[toxic] > high)
     return OrdinalModel(words, *_fit_ordinal(doc, cols, vals, grade, len(words), l2, steps))
 
 
@@ -196,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, seed: int
     kind = id_type(docs)
     sample = (
         labels.select(F.col("doc_id").cast(kind).alias("_k"), F.col("toxic").cast("int").alias("_y"))
-        .where("_k is not null and _y in (0, 1)")
+        .where(F.col("_k").isNotNull() & F.col("_y").between(0, GRADES))
         .groupBy("_k").agg(F.max("_y").alias("_y"))
         .orderBy(F.xxhash64(F.col("_k"), F.lit(seed)), "_k")
         .limit(max_labelled)
@@ -206,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, seed: int
     if not got.num_rows:
         return OrdinalModel()
     kept = got.take(pa.array(distinct(got)))
-    n, n1 = kept.num_rows, int(kept["_y"].to_numpy().sum())
+    n, n1 = kept.num_rows, int((kept["_y"].to_numpy() > 0).sum())
     if not 0 < n1 < n:
         return OrdinalModel()
     ids = docs.sparkSession.createDataFrame(pa.table({"_k": pa.array(sorted(kept["_k"].to_pylist()), kept["_k"].type)}))
@@ -216,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, seed: int
         text, h, _ = counted(data, offsets)
         return _lists(text, len(offsets) - 1, h.view(np.int64))
 
-    seen = _passes(rows, every, "words array<long>").select("_y", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("_y").alias("k1"))
+    seen = _passes(rows, every, "words array<long>").select("_y", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.count_if(F.col("_y") > 0).alias("k1"))
     chosen = seen.where("k1 >= 3").where(g2(F.col("df"), F.col("k1"), n, n1) >= LEAST_G2).select("word").toArrow()["word"]
     words = np.sort(chosen.to_numpy().view(np.uint64))
     if not len(words):
