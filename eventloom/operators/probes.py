@@ -51,7 +51,7 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     """``df`` with ``weight`` n / (classes * n of the class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     whole = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_classes"))
-    return df.join(F.broadcast(counts), label).crossJoin(F.broadcast(whole)).withColumn("weight", F.col("_all") / (F.col("_classes") * F.col("_n"))).drop("_n", "_all", "_classes")
+    return df.join(counts, label).crossJoin(F.broadcast(whole)).withColumn("weight", F.col("_all") / (F.col("_classes") * F.col("_n"))).drop("_n", "_all", "_classes")
 
 
 def logistic(df: DataFrame, label: str, regularisation: float = 0.0):

@@ -116,7 +116,7 @@ def g09(s, d):
 
 def g10(s, d):
     n = read(s, d, "nation").select(F.col("n_nationkey").alias("site"), "n_name")
-    return visits(s, d).join(F.broadcast(n), "site").groupBy("status", "n_name").agg(F.count(F.lit(1)).alias("n"), r(F.avg("los"), 4).alias("mean"), F.median("los").alias("med"))
+    return visits(s, d).join(n, "site").groupBy("status", "n_name").agg(F.count(F.lit(1)).alias("n"), r(F.avg("los"), 4).alias("mean"), F.median("los").alias("med"))
 
 
 def g11(s, d):
@@ -231,7 +231,7 @@ def g25(s, d):
     codes = v.groupBy("brand").agg(F.count(F.lit(1)).alias("n"), F.median("los").alias("med")).orderBy(F.desc("n"), "brand").limit(10).drop("n")
     cells = v.join(F.broadcast(codes), "brand").groupBy("site", "brand", "med").agg(F.count(F.lit(1)).alias("n"), F.avg("los").alias("mean"), F.count_if(bad()).alias("adverse")).where("n >= 3")
     sites = cells.groupBy("site").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "site").limit(10).select("site")
-    return cells.join(F.broadcast(sites), "site", "left_semi").select("site", "brand", "n", r("mean", 4).alias("mean"), "med", "adverse")
+    return cells.join(sites, "site", "left_semi").select("site", "brand", "n", r("mean", 4).alias("mean"), "med", "adverse")
 
 
 def g26(s, d):
@@ -368,8 +368,8 @@ def g47(s, d):
 
 
 def g48(s, d):
-    n = read(s, d, "nation").where("n_nationkey < 20").join(F.broadcast(read(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    c = read(s, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    n = read(s, d, "nation").where("n_nationkey < 20").join(read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    c = read(s, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return c.groupBy(F.coalesce("n_name", F.lit("unknown")).alias("site"), F.coalesce("r_name", F.lit("none")).alias("region")).agg(F.count(F.lit(1)).alias("n"))
 
 

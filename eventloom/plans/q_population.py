@@ -270,7 +270,7 @@ def effects(s, d):
     v = vis(s, d).join(read(s, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     pair = P.centroids(v, D, "c_nationkey", "o_orderpriority", least=10).withColumnRenamed("centroid", "pc")
     cluster = P.centroids(v, D, "o_orderpriority").select("o_orderpriority", F.col("centroid").alias("cc"))
-    return pair.join(F.broadcast(cluster), "o_orderpriority").withColumn("effect", V.sub("pc", "cc"))
+    return pair.join(cluster, "o_orderpriority").withColumn("effect", V.sub("pc", "cc"))
 
 
 def e37(s, d):

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.session import BROADCAST_ROWS
+
 from eventloom.operators.sequences import from_table
 
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
@@ -203,9 +205,9 @@ def touching(df: DataFrame, text: str, *columns: str) -> DataFrame:
 
 
 def with_ids(df: DataFrame, ids: list, key: str | Column) -> DataFrame:
-    """Rows with one of the listed ids: a short list is pushed down to the scan, a longer one is a broadcast semi-join."""
+    """Rows with one of the listed ids: a short list is pushed down to the scan, a longer one is a semi-join, broadcast up to ``BROADCAST_ROWS`` ids."""
     column = F.col(key) if isinstance(key, str) else key
     if len(ids) <= 500:
         return df.where(column.isin(ids))
     held = df.sparkSession.createDataFrame([(i,) for i in ids], ["_wanted"])
-    return df.join(F.broadcast(held), column == F.col("_wanted"), "left_semi")
+    return df.join(F.broadcast(held) if len(ids) <= BROADCAST_ROWS else held, column == F.col("_wanted"), "left_semi")
