@@ -61,3 +61,44 @@ def test_notices_side_by_side():
     for copies in ([once, exact], [exact, once], [twice, once, exact, once, twice], [once, exact] * 40):
         text = "\n".join(copies)
         assert [(text[a:b], e) for _, a, b, e in f.spans(text)] == [(c, 0 if c == exact else 1 if c == once else 2) for c in copies]
+
+
+def places(pattern, text, most):
+    """(end, edits) of the places where a part of the text within ``most`` edits of the pattern ends, by dynamic programming."""
+    row, out = list(range(len(pattern) + 1)), []
+    for j, c in enumerate(text, 1):
+        new = [0]
+        for i, p in enumerate(pattern, 1):
+            new.append(min(row[i - 1] + (p != c), row[i] + 1, new[i - 1] + 1))
+        row = new
+        if row[-1] <= most:
+            out.append((j, row[-1]))
+    return out
+
+
+def test_the_prefilter_is_the_edit_distance():
+    rng = random.Random(11)
+    for _ in range(150):
+        pattern = "".join(rng.choice("abc ") for _ in range(rng.randint(20, 90)))
+        text = "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 60))) + edited(rng, pattern, rng.randint(0, 12)) + "".join(rng.choice("abcd ") for _ in range(20))
+        most = rng.randint(0, 10)
+        if most < len(pattern):
+            assert L.Nearest(pattern, most)(text, 0, len(text)) == bool(places(pattern, text, most))
+
+
+def test_several_edited_notices_in_a_row():
+    """Each of several notices of one kind, edited differently, is found where it is, in any order."""
+    rng, f = random.Random(7), L.finder()
+    for _ in range(120):
+        name = rng.choice(list(L.NOTICES))
+        notice, most = L.NOTICES[name], L.finder().edits[name]
+        text, want = "", []
+        for _ in range(rng.randint(2, 5)):
+            copy = edited(rng, notice, rng.randint(0, most))
+            want.append((len(text), len(text) + len(copy)))
+            text += copy + rng.choice(["\n", ".\n", " and ", "\n\n# "])
+        found = [(a, b) for n, a, b, _ in f.spans(text) if n == name]
+        for a, b in want:  # one span for each, that shares most of it
+            assert sum(min(b, y) - max(a, x) > (b - a) / 2 for x, y in found) == 1, (name, text, found)
+        ends = places(notice, text, most)
+        assert all(any(abs(e - y) <= most for e, _ in ends) for _, y in found)

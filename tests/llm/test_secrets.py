@@ -124,3 +124,30 @@ def test_wrapped_der():
                 assert kinds(f"key:\\n{text}\\nHello") == [("der_key", text)]
             assert kinds(f"{block}\n{block}") == [("der_key", block)] * 2
             assert kinds(wrapped(data[:-1], width)) == []
+
+
+def test_whole_table_against_a_second_checker(spark):
+    """The assigned tokens of the table, found without patterns: by splitting at the word and at quotes."""
+    from eventloom.llm.registry import queries
+
+    d, want = "/root/testdata/sf0.01", set()
+    for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+        at = -1
+        while (at := r.text.find('token = "', at + 1)) >= 0:
+            begin = at + len('token = "')
+            value = r.text[begin:].split('"')[0]
+            if len(value) == 40 and not value.strip("0123456789abcdef") and len({value[k : k + 2] for k in range(0, 40, 2)}) > 10:
+                want.add((r.doc_id, "assigned_hex", begin, begin + 40, False))
+    got = {(r.doc_id, r.kind, r.begin, r.end, r.confirmed) for r in queries()["op8_secrets"](spark, d).collect()}
+    assert len(want) >= 10 and got == want
+
+
+def test_what_is_confirmed(spark):
+    key = "AKIA" + "J" * 4 + "2345ABCDEFGH"
+    commit, path = "token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "secret: com/Example/Path1/Handler/Main2x"
+    docs = spark.createDataFrame([(1, commit), (2, path), (3, f"id {key} end")], "doc_id long, text string")
+    got = {r.doc_id: r.confirmed for r in S.scan(docs).collect()}
+    assert got[1] is False and got.get(2) in (None, False)
+    assert {r.doc_id for r in S.scan(docs, unconfirmed=False).collect()} <= {3}
+    account = (int.from_bytes(__import__("base64").b32decode(key[4:])[:6], "big") & 0x7FFFFFFFFF80) >> 7
+    assert (3 in got) == (0 < account < 10**12)
