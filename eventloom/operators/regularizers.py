@@ -96,6 +96,24 @@ def rdmreg(df: DataFrame, d: int, vector: str = "embedding", key: str = "id", co
     return both.agg(F.avg(F.pow(F.col("x") - F.col("y"), 2.0))).first()[0] or 0.0
 
 
+def vicreg(online: DataFrame, target: DataFrame, d: int, key: str = "id", vector: str = "embedding", weights: tuple[float, float, float] = (25.0, 25.0, 1.0)) -> dict[str, float]:
+    """Invariance (mean squared difference of rows of one key), variance (hinge of 1 on the deviation of each dimension, n - 1, of both sides) and
+    covariance (squared off-diagonal covariances over d, of both sides), and their weighted ``loss``. Each is a few sums; 0 without common keys."""
+    both = online.select(key, F.col(vector).cast("array<double>").alias("a")).join(target.select(key, F.col(vector).cast("array<double>").alias("b")), key)
+    held = both.select(F.concat("a", "b").alias("ab"))
+    size = 2 * d
+    n, sums = _summed(held, "ab", lambda x: np.concatenate([x.sum(0), (x.T @ x).ravel(), [((x[:, :d] - x[:, d:]) ** 2).sum()]]))
+    if n < 2:
+        return {"invariance": 0.0, "variance": 0.0, "covariance": 0.0, "loss": 0.0}
+    mean, products = sums[:size] / n, sums[size:-1].reshape(size, size)
+    cov = (products - n * np.outer(mean, mean)) / (n - 1)
+    out = {"invariance": float(sums[-1] / (n * d)), "variance": 0.0, "covariance": 0.0}
+    for part in (cov[:d, :d], cov[d:, d:]):
+        out["variance"] += float(np.maximum(0, 1 - np.sqrt(np.diag(part) + 1e-4)).mean())
+        out["covariance"] += float(((part - np.diag(np.diag(part))) ** 2).sum() / d)
+    return out | {"loss": weights[0] * out["invariance"] + weights[1] * out["variance"] + weights[2] * out["covariance"]}
+
+
 def combined_loss(prediction: float, levels: list[float], weight: float = 0.1, weights: list[float] | None = None) -> float:
     """prediction + weight * the weighted sum of the levels' penalties; uniform weights unless given."""
     weights = weights or [1.0 / len(levels)] * len(levels) if levels else []

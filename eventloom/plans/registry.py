@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.plans import q_kpi, q_population, q_probes, q_relational, q_schema, q_sequences
+from eventloom.plans import q_kpi, q_models, q_population, q_probes, q_relational, q_schema, q_sequences
 
-MODULES = [q_sequences, q_population, q_schema, q_kpi, q_relational, q_probes]
+MODULES = [q_sequences, q_population, q_schema, q_kpi, q_relational, q_probes, q_models]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -52,6 +52,6 @@ def test_same_as_sql(spark, sf, duck, name):
     assert rows(df.columns, df.collect()) == rows(columns, cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(Q) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(Q) - set(SQL)))  # what they give is held against numpy in test_models.py
 def test_runs(spark, sf, name):
-    assert Q[name](spark, sf).count() >= 0
+    assert Q[name](spark, sf).count() > 0
