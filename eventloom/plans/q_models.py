@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.operators import density, memory, predictors
+from eventloom.operators import density, index, memory, predictors
 from eventloom.operators import regularizers as G
 from eventloom.plans import q_schema
 from eventloom.plans import q_sequences as QS
-from eventloom.plans.q_population import D, emb, r, read
+from eventloom.plans.q_population import D, emb, ids, knn_out, knn_sql, r, read
 from eventloom.session import shared_folder
 from eventloom.sources.vectors import VectorStore
 
@@ -35,6 +35,12 @@ def e20(s, d):
     return density.dbscan(emb(s, d), 0.65, 4, "vec_id").select(F.col("id").alias("vec_id"), "cluster", "core")
 
 
+def d16(s, d):
+    """The nearest of all vectors for every fiftieth one, by the index."""
+    e = ids(s, d)
+    return knn_out(index.search(index.build(e, D), e.where("id % 50 = 0"), 10))
+
+
 def m04(s, d):
     """The next value of each sequence by a regression on the last one, fitted to all pairs of neighbours."""
     seq = QS.sequences(s, d).withColumn("embedding", F.slice("embedding", 1, 1))
@@ -86,7 +92,7 @@ def a19(s, d):
 
 QUERIES = {
     "a15_copy_filtered": a15, "a16_vector_store": a16, "a17_register": a17, "a19_sync": a19,
-    "c13_node_messages": c13, "c13_node_memory": c13_memory, "e20_density_clusters": e20, "m04_predictor": m04, "m14_vicreg": m14,
+    "c13_node_messages": c13, "c13_node_memory": c13_memory, "d16_index_search": d16, "e20_density_clusters": e20, "m04_predictor": m04, "m14_vicreg": m14,
 }
 
 MESSAGES = f"""{q_schema.TRIPLE_SQL}, ends AS (SELECT unnest(list_distinct([subject_id, object_id])) AS node, floor(t_epoch / {MONTH}::DOUBLE)::BIGINT AS batch, t_epoch, floor(numeric_value) AS v FROM tri),
@@ -101,6 +107,7 @@ SQL = {
     "a19_sync": "SELECT 'representations' AS kind, count(DISTINCT user_id) AS synced, count(DISTINCT user_id) AS held FROM events UNION ALL SELECT 'predictions', 2 * count(DISTINCT user_id), 2 * count(DISTINCT user_id) FROM events",
     "c13_node_messages": f"WITH {MESSAGES} SELECT node, batch, n, round(message, 4) AS message, round(last, 3) AS last FROM msg",
     "c13_node_memory": f"WITH {MESSAGES}, w AS (SELECT *, 0.5::DOUBLE * pow(0.5::DOUBLE, row_number() OVER (PARTITION BY node ORDER BY batch DESC) - 1) AS w FROM msg) SELECT node, count(*) AS batches, round(sum(w * message), 3) AS memory, round(max(last), 3) AS last FROM w GROUP BY 1",
+    "d16_index_search": knn_sql(10, "a.vec_id % 50 = 0"),
     "e20_density_clusters": f"""
 WITH RECURSIVE near AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {COSINE} >= 0.35),
 core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY a HAVING count(*) + 1 >= 4),

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from eventloom.operators import index as I
 from eventloom.operators import population as P
 from eventloom.operators import similarity as M
 
@@ -90,3 +91,28 @@ def test_centroids_and_covariance(spark):
     assert whole.centre == pytest.approx(x.mean(0)) and whole.n_centre == 53
     none = P.mean_of(df.limit(0), 4).first()
     assert none.centre is None and none.n_centre == 0
+
+
+def test_index_search_is_exact_and_passes_cells_over(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 8)) * 3
+    x = np.concatenate([centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 8)) * 0.1, rng.normal(size=(200, 8))])
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(5000, [0.0] * 8), (5001, None), (5002, [1.0]), (None, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(5)
+    index = I.build(df, 8)
+    assert index.size.sum() == 3200
+    got = {}
+    for r in I.search(index, df.where("id % 50 = 0"), 10).collect():
+        got.setdefault(r["query"], {})[r.place] = r.neighbour
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 10)
+    np.fill_diagonal(s, -2)
+    for q in range(0, 3200, 50):
+        assert [got[q][k] for k in range(1, 11)] == np.lexsort((np.arange(3200), -s[q]))[:10].tolist()
+    assert 5000 not in got and len(got) == 64
+    # cells that a query has to look into, of all
+    a = I.angles(unit[0:3000:50] @ index.means.T)
+    bound = I.angles(np.sort(s[0:3000:50], axis=1)[:, -10])
+    assert ((a - index.widest <= bound[:, None]) & (index.size > 0)).mean() < 0.3
+    assert I.search(I.build(df.limit(0), 8), df, 3).count() == 0
+    assert I.search(I.build(df.where("id < 4"), 8), df.where("id = 1"), 10).count() == 3
