@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -9,6 +13,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+LOG = logging.getLogger(__name__)
+
 
 def split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
     """``df`` with ``held``: whether a row's hash of key and seed falls into the test share. The same rows whatever the partitions."""
@@ -96,3 +102,17 @@ def class_metrics(df: DataFrame, label: str, prediction: str = "prediction") ->
     real = pairs.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("support"), F.sum(hit).alias("hits"))
     said = pairs.groupBy(F.col("b").alias("class")).agg(F.sum("n").alias("said"))
     return real.join(said, "class", "left").select("class", "support", (F.col("hits") / F.col("said")).alias("precision"), (F.col("hits") / F.col("support")).alias("recall"))
+
+
+def sweep(checkpoints: dict[str, DataFrame], probes: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(checkpoint, probe, ...): the metrics of every probe on the vectors of every checkpoint, columns by name; a probe that has no data is left out."""
+    parts = []
+    for name, vectors in checkpoints.items():
+        for kind, probe in probes.items():
+            try:
+                parts.append(probe(vectors).select(F.lit(name).alias("checkpoint"), F.lit(kind).alias("probe"), "*"))
+            except ValueError as e:  # as ``labelled`` raises without labels
+                LOG.warning("%s of %s: %s", kind, name, e)
+    if not parts:
+        raise ValueError("no probe has data")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

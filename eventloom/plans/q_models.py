@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.operators import density, index, memory, predictors
+from eventloom.functions.extensions import Extensions
+from eventloom.operators import density, index, memory, predictors, probes
 from eventloom.operators import regularizers as G
 from eventloom.plans import q_schema
 from eventloom.plans import q_sequences as QS
@@ -90,7 +91,35 @@ def a19(s, d):
     return s.createDataFrame([(k, n, v.table(f"users_{k}").count()) for k, n in counts.items()], "kind string, synced long, held long")
 
 
+def l01(s, d):
+    """A column, an aggregate and a table function of the user's own, in one SQL query."""
+    import pyarrow.compute as pc
+
+    class Letters:
+        def eval(self, text: str, n: int):
+            for k in range(0, len(text or ""), n):
+                yield (text[k : k + n],)
+
+    more = Extensions(s)
+    more.column("my_double", "double", lambda x: pc.multiply(x, 2.0))
+    more.aggregate("my_span", "double", lambda x: float(x.max() - x.min()))
+    more.table("my_letters", "part string", Letters)
+    return s.sql(
+        "SELECT part, round(my_span(x), 4) AS span FROM (SELECT c_mktsegment, my_double(c_acctbal) AS x FROM {c}) t, LATERAL my_letters(c_mktsegment, 4) GROUP BY part",
+        c=read(s, d, "customer"),
+    )
+
+
+def h06(s, d):
+    """Probes over checkpoints: which vectors tell the halves of the ids apart, and how large the first coordinate is."""
+    e = emb(s, d).select("vec_id", "embedding", "label")
+    versions = {"first": e, "scaled": e.withColumn("embedding", F.transform("embedding", lambda x: x * 2))}
+    found = {"rows": lambda v: v.agg(F.count(F.lit(1)).cast("double").alias("value")), "largest": lambda v: v.agg(r(F.max(F.col("embedding")[0]), 5).alias("value"))}
+    return probes.sweep(versions, found)
+
+
 QUERIES = {
+    "h06_sweep": h06, "l01_extensions": l01,
     "a15_copy_filtered": a15, "a16_vector_store": a16, "a17_register": a17, "a19_sync": a19,
     "c13_node_messages": c13, "c13_node_memory": c13_memory, "d16_index_search": d16, "e20_density_clusters": e20, "m04_predictor": m04, "m14_vicreg": m14,
 }
@@ -101,6 +130,8 @@ COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 HELD = "held AS (SELECT vec_id::VARCHAR AS id, label::VARCHAR AS tag, CASE WHEN vec_id % 5 = 0 THEN 2 ELSE 1 END * embedding[1] AS x FROM embeddings WHERE vec_id % 7 <> 0)"
 
 SQL = {
+    "h06_sweep": "SELECT v AS checkpoint, p AS probe, CASE WHEN p = 'rows' THEN n ELSE round(m * CASE WHEN v = 'scaled' THEN 2 ELSE 1 END, 5) END AS value FROM (SELECT count(*)::DOUBLE AS n, max(embedding[1])::DOUBLE AS m FROM embeddings), (VALUES ('first'), ('scaled')) a(v), (VALUES ('rows'), ('largest')) b(p)",
+    "l01_extensions": "SELECT part, round(max(x) - min(x), 4) AS span FROM (SELECT substr(c_mktsegment, k::INTEGER, 4) AS part, 2 * c_acctbal AS x FROM customer, range(1, 100, 4) r(k) WHERE k <= length(c_mktsegment)) GROUP BY 1",
     "a15_copy_filtered": f"WITH {HELD} SELECT id, tag, count(*) OVER () AS copied FROM held WHERE tag = '3'",
     "a16_vector_store": f"WITH {HELD} SELECT id, tag, round(x::DOUBLE, 5) AS x FROM held",
     "a17_register": f"WITH {HELD} SELECT tag, count(*) AS n FROM held GROUP BY 1",

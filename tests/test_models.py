@@ -304,3 +304,34 @@ def test_evolved_search_is_no_worse_than_its_seed(spark):
     assert len(hits) == 10 and [h.similarity for h in hits] == sorted((h.similarity for h in hits), reverse=True)
     seed = e[0] / np.linalg.norm(e[0])
     assert len({h.id for h in hits} & set(sorted(e, key=lambda i: -(e[i] @ seed) / np.linalg.norm(e[i]))[:30])) >= 5
+
+
+def test_sweep_leaves_out_probes_without_labels(spark):
+    e = q_population.emb(spark, SF)
+    none = e.limit(0)
+    mean = lambda v: probes.labelled(v.select("vec_id", "embedding"), e.select("vec_id", "label"), "vec_id").agg(F.avg("label").alias("mean"))
+    count = lambda v: v.agg(F.count(F.lit(1)).alias("n"))
+    got = {(r.checkpoint, r.probe): (r["mean"], r.n) for r in probes.sweep({"a": e, "empty": none}, {"mean": mean, "count": count}).collect()}
+    assert set(got) == {("a", "mean"), ("a", "count"), ("empty", "count")} and got["empty", "count"] == (None, 0)
+    with pytest.raises(ValueError):
+        probes.sweep({"empty": none}, {"mean": mean})
+
+
+def test_database_source(spark, tmp_path):
+    """An embedded database over JDBC: listed, read in partitions, only read columns asked for, and united with a folder."""
+    url = f"jdbc:derby:{tmp_path}/base;create=true"
+    rows = spark.range(20).selectExpr("id AS k", "concat('v', id) AS v", "id * 1.5D AS x")
+    rows.write.format("jdbc").options(url=url, dbtable="things", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
+    listing = "SELECT tablename FROM sys.systables WHERE tabletype = 'T'"
+    source = warehouse.Source.jdbc(spark, url, listing, driver="org.apache.derby.jdbc.EmbeddedDriver", partitionColumn="k", lowerBound="0", upperBound="20", numPartitions="4")
+    w = warehouse.Warehouse(spark)
+    w.attach("base", source)
+    w.attach("near", warehouse.Source.memory({"THINGS": rows.where("k < 3").drop("x")}))
+    assert w.tables("base") == ["THINGS"]
+    got = source.table("THINGS")
+    assert got.rdd.getNumPartitions() == 4 and {(r.k, r.v, r.x) for r in got.collect()} == {(k, f"v{k}", k * 1.5) for k in range(20)}
+    plan = got.where("k > 10").select("v")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "x" not in plan.split("ReadSchema")[-1].split("<")[-1].split(">")[0].split(",")[0].split(":")[0]
+    assert {(r.sourcedb, r.n) for r in w.union("THINGS").groupBy("sourcedb").agg(F.count("*").alias("n")).collect()} == {("base", 20), ("near", 3)}
+    with pytest.raises(ValueError):
+        source.table("no good")
