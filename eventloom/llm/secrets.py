@@ -22,12 +22,10 @@ import json
 import re
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm import kernels as K
 from eventloom.llm.common import apart, arrow_batches, narrow
 
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?!-----)[\s\S])*+)-----END \1-----")
@@ -35,7 +33,13 @@ TOKEN = re.compile(r"(?<![\w.-])(eyJ[\w-]{8,})\.([\w-]{4,})\.([\w-]*)(?![\w-])",
 UNCONFIRMED = {"assigned_hex", "assigned_base64"}
 ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)([A-Z2-7]{16})(?![A-Za-z0-9])")
 HUB = re.compile(r"(?<![A-Za-z0-9])gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-ASSIGNED = re.compile(r"""(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private|secret)[_-]?(?:key|token))["']?\s{0,4}(?::=|=>|=|:)\s{0,4}(["']?)([A-Za-z0-9+/_-]{16,}={0,2})\1(?![A-Za-z0-9+/_-])""")
+#: Every kind but PEM and tokens has such a run.
+RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+#: What stands before a value: a word, a sign, perhaps a quote.
+ASSIGNED = re.compile(r"""(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private|secret)[_-]?(?:key|token))["']?\s{0,4}(?::=|=>|=|:)\s{0,4}(["']?)\Z""")
+BEFORE = 32
+#: What ends it, by the quote before it.
+CLOSED = {q: re.compile(rf"(={{0,2}}){q}(?![A-Za-z0-9+/_-])") for q in ("", "'", '"')}
 KEY_BYTES = {16, 20, 24, 32, 40, 48, 64}
 #: A line end, real or written with backslashes, with quotes and signs of joined literals around it.
 EOL = r"""(?:(?:\\+[rn])++(?:["'][ \t]*+[+.,\\]?+[ \t]*+(?:\r?\n)?+[ \t]*+["'])?+[ \t]*+|\r?\n[ \t]*+)"""
@@ -248,40 +252,35 @@ def findings(text: str) -> list[tuple[str, int, int, str]]:
     for m in TOKEN.finditer(text) if "eyJ" in text else ():
         if signed(*m.groups()):
             found.append(("signed_token", *m.span(), json.loads(unbase64(m[1], url=True))["alg"]))
-    for m in ACCESS.finditer(text):
+    runs = [m.span() for m in RUN.finditer(text)]
+    for m in ACCESS.finditer(text) if "AKIA" in text or "ASIA" in text else ():
         if 0 < (int.from_bytes(base64.b32decode(m[1])[:6], "big") & 0x7FFFFFFFFF80) >> 7 < 10**12 and len(set(m[1])) > 4:
             found.append(("access_key", *m.span(), "base32"))
-    for m in HUB.finditer(text) if "gh" in text else ():
+    for m in HUB.finditer(text) if "gh" in text and runs else ():
         if checksum62(m[1]) == m[2]:
             found.append(("hub_token", *m.span(), "crc32"))
-    for m in BLOCK.finditer(text):
+    for m in BLOCK.finditer(text) if any(b - a >= 40 for a, b in runs) else ():
         found += [("der_key", *key) for key in keys_in(text, *m.span())]
-    for m in ASSIGNED.finditer(text):
-        value = m[2]
+    for begin, end in runs:
+        before = ASSIGNED.search(text[max(0, begin - BEFORE) : begin])
+        after = before and CLOSED[before[1]].match(text, end)
+        if not after:
+            continue
+        value, end = text[begin : after.end(1)], after.end(1)
         if re.fullmatch(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+", value):
             if varied(bytes.fromhex(value)):
-                found.append(("assigned_hex", *m.span(2), f"{len(value) // 2} bytes"))
+                found.append(("assigned_hex", begin, end, f"{len(value) // 2} bytes"))
             continue
         data = unbase64(value, url="-" in value or "_" in value)
         if data and varied(data) and re.search("[0-9]", value) and re.search("[a-z]", value) and re.search("[A-Z]", value):
-            found.append(("assigned_base64", *m.span(2), f"{len(data)} bytes"))
+            found.append(("assigned_base64", begin, end, f"{len(data)} bytes"))
     return apart(sorted(found, key=lambda f: (f[1] - f[2], f[1], f[0])))
 
 
-BREAK = np.ones(256, bool)
-BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), 43, 47, 45, 95, 61]] = False
 FOUND = "array<struct<kind:string,begin:int,end:int,detail:string>>"
 ARROW_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("detail", pa.string())]))
 
 
-def with_runs(column: pa.Array, least: int = 12) -> np.ndarray:
-    """Numbers of the texts with a run of ``least`` characters of base64 or its URL form: every kind has one."""
-    data, offsets = K.text_parts(column)
-    stops = np.unique(np.concatenate([np.flatnonzero(BREAK[data]), offsets - 1, offsets[1:] - 1, [len(data)]]))
-    wide = np.flatnonzero(np.diff(stops) >= least)
-    return np.unique(np.searchsorted(offsets, stops[wide] + 1, "right") - 1)
-
-
 def scan(docs: DataFrame, unconfirmed: bool = True) -> DataFrame:
     """(doc_id, kind, begin, end, detail, confirmed): a row for each secret, without those of no structure unless ``unconfirmed``; the secret itself is
     not repeated."""
@@ -289,11 +288,8 @@ def scan(docs: DataFrame, unconfirmed: bool = True) -> DataFrame:
 
     @F.arrow_udf(FOUND)
     def search(column: pa.Array) -> pa.Array:
-        out: list = [[]] * len(column)
-        for i in with_runs(column):
-            if i < len(column) and (text := column[int(i)].as_py()):
-                out[i] = [{"kind": k, "begin": b, "end": e, "detail": d} for k, b, e, d in findings(text)]
-        return pa.array(out, ARROW_FOUND)
+        texts = (item.as_py() for item in column)
+        return pa.array([[{"kind": k, "begin": b, "end": e, "detail": d} for k, b, e, d in findings(text)] if text else [] for text in texts], ARROW_FOUND)
 
     found = narrow(docs).select(F.col("_k").alias("doc_id"), F.explode(search("_t")).alias("s")).select("doc_id", "s.kind", "s.begin", "s.end", "s.detail")
     found = found.withColumn("confirmed", ~F.col("kind").isin(sorted(UNCONFIRMED)))
