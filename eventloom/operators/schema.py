@@ -38,10 +38,10 @@ def domain(name: Column) -> Column:
     return F.element_at(F.filter(F.split(F.lower(name), "_"), lambda x: ~x.isin("agg", "tb")), 1)
 
 
-def profile(df: DataFrame, table: str, approximate: bool | None = None) -> DataFrame:
-    """(table, column, kind, rows, nulls, distinct_values, low, high, mean): a row a column, from a single pass.
+def profile(df: DataFrame, table: str, approximate: bool | None = False) -> DataFrame:
+    """(table, column, kind, rows, nulls, distinct_values, low, high, mean, exact): a row a column, from a single pass.
 
-    Without ``approximate`` the distinct counts are exact up to ``EXACT_ROWS`` rows and HyperLogLog beyond.
+    Distinct counts are exact, or HyperLogLog's if ``approximate``; None says by the table's size (beyond ``EXACT_ROWS`` rows). ``exact`` says which.
     """
     if approximate is None:
         approximate = df.count() > EXACT_ROWS
@@ -54,7 +54,7 @@ def profile(df: DataFrame, table: str, approximate: bool | None = None) -> DataF
         mean = F.avg(c).cast("double") if isinstance(f.dataType, NUMERIC) else F.lit(None).cast("double")
         parts.append(F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("kind"), F.count_if(c.isNull()).alias("nulls"), distinct.alias("distinct_values"), (F.min(c).cast("string") if ordered else text).alias("low"), (F.max(c).cast("string") if ordered else text).alias("high"), mean.alias("mean")).alias(f"_{k}"))
     one = df.agg(*parts)
-    return one.select(F.lit(table).alias("table"), "rows", F.explode(F.array(*[F.col(f"_{k}") for k in range(len(columns))])).alias("c")).select("table", "c.column", "c.kind", "rows", "c.nulls", "c.distinct_values", "c.low", "c.high", "c.mean")
+    return one.select(F.lit(table).alias("table"), "rows", F.explode(F.array(*[F.col(f"_{k}") for k in range(len(columns))])).alias("c")).select("table", "c.column", "c.kind", "rows", "c.nulls", "c.distinct_values", "c.low", "c.high", "c.mean", F.lit(not approximate).alias("exact"))
 
 
 def keys(profiles: DataFrame, pattern: str = IDS) -> DataFrame:

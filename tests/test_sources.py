@@ -112,3 +112,17 @@ def test_regularizers(spark):
     s = np.random.default_rng(42).normal(size=(32, 6)) / np.sqrt(6)
     assert regularizers.weak_sigreg(df, 6) == pytest.approx(((s @ np.cov(x.T, bias=True) @ s.T - s @ s.T) ** 2).sum())
     assert regularizers.rdmreg(df, 6) < regularizers.rdmreg(df.withColumn("embedding", F.transform("embedding", lambda v: v * 5 + 3)), 6)
+
+
+def test_scans_read_what_is_asked_for(spark, sf):
+    """Columns and filters reach the Parquet scan, through a source, the warehouse's union and the column profile."""
+    w = warehouse.Warehouse(spark)
+    w.attach("files", sf)
+    plan = w.union("orders").where("o_totalprice > 400000 and sourcedb = 'files'").select("o_custkey")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double>" in plan and "GreaterThan(o_totalprice,400000.0)" in plan
+    none = w.union("orders").where("sourcedb = 'other'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation <empty>" in none  # a source that is filtered out isn't read
+    from eventloom.operators import schema
+
+    few = schema.profile(spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey"), "orders", approximate=True)
+    assert "ReadSchema: struct<o_custkey:bigint>" in few._jdf.queryExecution().executedPlan().toString() and few.first().exact is False
