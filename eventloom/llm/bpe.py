@@ -29,7 +29,7 @@ from eventloom.session import unused
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF, WINDOW = 16384, 64
+LEAF, WINDOW = 2048, 64
 #: A white space after something else: every scan has a border before it.
 SAFE = re.compile(r"(?<=\S)(?=\s)")
 
