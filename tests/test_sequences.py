@@ -7,7 +7,7 @@ from eventloom.operators import sequences as S
 from eventloom.operators import similarity as M
 
 SCHEMA = "id string, ts double, embedding array<double>, modality string, tie long"
-EIGHT = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0], [1.0, 1.0, 0.0], [0.0, 1.0, 1.0], [1.0, 0.0, 1.0], [0.5, 0.5, 0.0], [0.0, 0.5, 0.5]]
+EIGHT = [[(3 * k + j * j) % 4 / 2 for j in range(3)] for k in range(8)]
 
 
 def seq(spark, times, vectors, name="a"):
