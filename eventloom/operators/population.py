@@ -81,9 +81,9 @@ def centroids(df: DataFrame, d: int, *by: str, vector: str = "embedding", least:
     return got.where(F.col("n") >= least).select(*by, "n", F.col("values").alias("centroid"))
 
 
-def distances(df: DataFrame, d: int, *by: str, vector: str = "embedding") -> DataFrame:
-    """``df`` with ``distance``: Euclidean, to the centroid of its group."""
-    return df.join(centroids(df, d, *by, vector=vector), list(by)).withColumn("distance", V.euclidean(vector, "centroid", d)).drop("centroid", "n")
+def distances(df: DataFrame, d: int, *by: str, vector: str = "embedding", cents: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``distance``: Euclidean, to the centroid of its group (from ``cents`` if they are known)."""
+    return df.join(centroids(df, d, *by, vector=vector) if cents is None else cents, list(by)).withColumn("distance", V.euclidean(vector, "centroid", d)).drop("centroid", "n")
 
 
 def anomalies(df: DataFrame, d: int, *by: str, vector: str = "embedding", clamp: float = 1e-8) -> DataFrame:
@@ -108,9 +108,9 @@ def centroid_pairs(cents: DataFrame, d: int, by: str) -> DataFrame:
     return a.crossJoin(b).where("a < b").select("a", "b", V.cosine("ca", "cb", d).alias("cosine"), V.euclidean("ca", "cb", d).alias("distance"))
 
 
-def coherence(df: DataFrame, d: int, by: str, least: int = 10) -> DataFrame:
+def coherence(df: DataFrame, d: int, by: str, least: int = 10, cents: DataFrame | None = None) -> DataFrame:
     """(by, n, intra): the mean distance to the centroid of each group of at least ``least`` members."""
-    return distances(df, d, by).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("intra")).where(F.col("n") >= least)
+    return distances(df, d, by, cents=cents).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("intra")).where(F.col("n") >= least)
 
 
 def isotropy(df: DataFrame, d: int, vector: str = "embedding") -> DataFrame:

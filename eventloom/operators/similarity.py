@@ -134,21 +134,27 @@ def entity_blocks(entities: DataFrame) -> DataFrame:
         for batch in batches:
             n = 0
             while n < batch.num_rows:
-                part, at = batch.slice(n, 512), {}
+                part = batch.slice(n, 512)
                 n += part.num_rows
-                for i, vectors in enumerate(part.column(2)):
-                    for v in sorted(vectors.as_py(), key=lambda v: (v["modality"], v["embedding"])):
-                        at.setdefault((v["modality"], len(v["embedding"])), {}).setdefault(i, v["embedding"])  # of repeated ones the smallest
-                masks, data = [], []
-                for (_, width), held in at.items():
-                    x, mask = np.zeros((part.num_rows, width)), np.zeros(part.num_rows, bool)
-                    rows = list(held)
-                    x[rows], mask[rows] = list(held.values()), True
+                lists = part.column(2)
+                flat, owner = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                vectors, tags = flat.field("embedding"), flat.field("modality").dictionary_encode()
+                codes, widths = tags.indices.fill_null(-1).to_numpy(zero_copy_only=False), vectors.value_lengths().to_numpy(zero_copy_only=False)
+                names, sizes, masks, data = [], [], [], []
+                for code, width in sorted(set(zip(codes.tolist(), widths.tolist()))):
+                    rows = np.flatnonzero((codes == code) & (widths == width))
+                    v, own = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), width), owner[rows]
+                    order = np.lexsort((*v.T[::-1], own)) if len(np.unique(own)) < len(own) else np.argsort(own)  # of repeated ones the smallest
+                    own, first = np.unique(own[order], return_index=True)
+                    x, mask = np.zeros((len(lists), width)), np.zeros(len(lists), bool)
+                    x[own], mask[own] = v[order[first]], True
+                    names.append(None if code < 0 else tags.dictionary[code].as_py())
+                    sizes.append(width)
                     masks.append(mask.tobytes())
                     data.append((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)).tobytes())
                 one = lambda c: pa.array([c.to_pylist()], pa.list_(c.type))
                 yield pa.record_batch(
-                    [one(part.column(0)), one(part.column(1)), pa.array([[m for m, _ in at]], pa.list_(pa.string())), pa.array([[w for _, w in at]], pa.list_(pa.int32())), pa.array([masks], pa.list_(pa.binary())), pa.array([data], pa.list_(pa.binary()))],
+                    [one(part.column(0)), one(part.column(1)), pa.array([names], pa.list_(pa.string())), pa.array([sizes], pa.list_(pa.int32())), pa.array([masks], pa.list_(pa.binary())), pa.array([data], pa.list_(pa.binary()))],
                     names=["ids", "categories", "modalities", "widths", "masks", "data"],
                 )
 

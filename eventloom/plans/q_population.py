@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import vectors as V
 from eventloom.operators import population as P
 from eventloom.operators import similarity as M
+from eventloom.session import stored
 
 D = 64
 
@@ -70,9 +71,9 @@ def entities(s: SparkSession, d: str) -> DataFrame:
 
 def with_axis(s: SparkSession, d: str, source: DataFrame, flag: str = "label") -> DataFrame:
     """Rows with the centroids of class 0 (adverse) and 1 (favourable) and the axis between them."""
-    e = emb(s, d)
-    bad, good = P.mean_of(e, D, F.col("label") == 0, name="bad"), P.mean_of(e, D, F.col("label") == 1, name="good")
-    return source.crossJoin(F.broadcast(bad.crossJoin(good))).withColumn("axis", V.sub("bad", "good"))
+    two = P.centroids(emb(s, d).where("label in (0, 1)"), D, "label")
+    of = lambda k: F.max(F.when(F.col("label") == k, F.col("centroid")))
+    return source.crossJoin(F.broadcast(two.agg(of(0).alias("bad"), of(1).alias("good")))).withColumn("axis", V.sub("bad", "good"))
 
 
 AXIS = f"{EMB}, {cent('bad', 'emb', where='label = 0')}, {cent('good', 'emb', where='label = 1')}, ax AS (SELECT bad.c AS bad, good.c AS good, {MINUS.format(a='bad.c', b='good.c')} AS axis FROM bad, good)"
@@ -95,9 +96,9 @@ def d14(s, d):
 
 
 def e05(s, d):
-    cents = P.centroids(emb(s, d), D, "label")
+    cents = stored(P.centroids(emb(s, d), D, "label"), "centroids")
     between = P.centroid_pairs(cents, D, "label").agg(F.avg("distance").alias("between"))
-    return P.coherence(emb(s, d), D, "label").crossJoin(F.broadcast(between)).select("label", "n", r("intra").alias("intra"), r("between").alias("between"))
+    return P.coherence(emb(s, d), D, "label", cents=cents).crossJoin(F.broadcast(between)).select("label", "n", r("intra").alias("intra"), r("between").alias("between"))
 
 
 def e07(s, d):
