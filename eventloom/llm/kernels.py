@@ -11,7 +11,7 @@ MASK = (1 << 64) - 1
 GOLD = 0x9E3779B97F4A7C15
 BASE = GOLD | 1
 #: Bytes of text that are worked on at once; a longer text is cut at word ends, never truncated.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
