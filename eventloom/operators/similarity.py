@@ -90,19 +90,13 @@ def largest(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, key: str = "id", vector: str = "embedding", kind: str | None = None, same_kind: bool = False, target: str | None = None) -> DataFrame:
     """(query, neighbour, similarity, place): the ``k`` nearest by cosine, the query's own id left out, ties by id.
 
-    ``same_kind`` compares within a kind only; ``target`` takes neighbours of that kind only: only such blocks are paired. Each pair of blocks keeps
-    its ``k`` best a query, so what is shuffled is queries times blocks times ``k``.
+    ``same_kind`` compares within a kind only; ``target`` takes neighbours of that kind only. Each cell of the grid keeps its ``k`` best a query, so
+    what is shuffled after it is queries times ``k`` times the few cells that a query is in. Rows without an id are left out.
     """
-
-    def pick(s, ids, ids2):
-        s = np.where(ids[:, None] == ids2[None, :], -np.inf, s)
-        i, j = largest(s, ids2, k)
-        return pa.record_batch([pa.array(ids[i]), pa.array(ids2[j]), pa.array(s[i, j])], names=["query", "neighbour", "similarity"])
-
     if target is not None:
         corpus = corpus.where(F.col(kind).cast("string") == target)
-    on = F.col("kind") == F.col("kind2") if same_kind else None
-    got = paired(packed(queries, key, vector, kind), packed(corpus, key, vector, kind), pick, "query long, neighbour long, similarity double", on)
+    known = F.col(key).isNotNull()
+    got = grid.meet(queries.where(known), corpus.where(known), key, vector, grid.nearest_of(k), "query long, neighbour long, similarity double", kind, same_kind)
     order = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 10)), "neighbour")
     return got.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
