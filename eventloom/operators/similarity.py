@@ -1,7 +1,7 @@
 """Entity similarity and vector search: relationship discovery, nearest neighbours, similarity joins, evolutionary search.
 
-All-pairs work is done block by block: each partition packs its vectors into matrices of one width and kind, the packed rows (a few per
-partition) are joined on width and, where it matters, kind, and each pair is one matrix product in numpy. No side is broadcast whole.
+All-pairs work is a grid of tasks (``grid``). Searches of an index pack their vectors into blocks of one cell and width, which are joined on both
+(``paired``): each pair of blocks is one matrix product. No side is broadcast whole.
 """
 
 from __future__ import annotations
@@ -116,14 +116,9 @@ def kind_pairs(df: DataFrame, key: str = "id", vector: str = "embedding", kind:
 
 
 def threshold_join(df: DataFrame, least: float, key: str = "id", vector: str = "embedding", kind: str = "kind") -> DataFrame:
-    """(a, b, similarity) of the pairs a < b of different kinds with a cosine above ``least``; blocks of one kind aren't paired."""
-
-    def pick(s, ids, ids2):
-        i, j = np.nonzero((s > least) & (ids[:, None] < ids2[None, :]))
-        return pa.record_batch([pa.array(ids[i]), pa.array(ids2[j]), pa.array(s[i, j])], names=["a", "b", "similarity"])
-
-    blocks = packed(df, key, vector, kind)
-    return paired(blocks, blocks, pick, "a long, b long, similarity double", F.col("kind") != F.col("kind2"))
+    """(a, b, similarity) of the pairs a < b of different kinds with a cosine above ``least``; rows without an id or kind have none."""
+    known = df.where(F.col(key).isNotNull() & F.col(kind).isNotNull())
+    return grid.meet(known, None, key, vector, grid.pairs_above(least, different=True), "a long, b long, similarity double", kind)
 
 
 def entity_blocks(entities: DataFrame) -> DataFrame:
