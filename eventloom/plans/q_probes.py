@@ -9,16 +9,18 @@ from eventloom.operators import probes as P
 from eventloom.operators import regularizers as G
 from eventloom.plans import q_kpi
 from eventloom.plans.q_population import D, emb, r, read
+from eventloom.session import stored
 
 SPLIT = "(('0x' || substr(md5('42:' || {k}), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2)"
 
 
 def cases(s: SparkSession, d: str) -> DataFrame:
-    """Closed visits with vectors: an order has the embedding of its key modulo their number."""
+    """Closed visits that have a vector: an order has the embedding of its key modulo their number. Stored without the vectors, as these repeat."""
     e = emb(s, d)
     n = e.agg(F.count(F.lit(1)).alias("_n"))
-    v = q_kpi.visits(s, d).where("end_on is not null").crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("visit") % F.col("_n")).drop("_n")
-    return P.split(P.labelled(e.drop("label"), v, "vec_id"), "visit")
+    v = q_kpi.visits(s, d).where("end_on is not null").crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("visit") % F.col("_n")).drop("_n").dropna()
+    rows = stored(v.select("visit", "vec_id", "site", "los", "bill", "denied"), "cases")
+    return P.split(P.labelled(e.select("vec_id").distinct(), rows, "vec_id"), "visit")
 
 
 def h00(s, d):
@@ -30,25 +32,32 @@ def h01(s, d):
     return P.split(read(s, d, "orders").select("o_orderkey"), "o_orderkey")
 
 
-def probe(s, d, value) -> DataFrame:
-    c = P.features(cases(s, d).withColumn("y", value).where("y is not null"))
-    model = P.ridge(c.where("not held"), "y")
-    return P.regression_metrics(model.transform(c.where("held")), "y").select("n", r("r2", 3).alias("r2"), r("mae", 3).alias("mae"), r("median_error", 3).alias("median_error"))
+def probe(s, d, value, rows: DataFrame | None = None) -> DataFrame:
+    """The fit sees each vector once, with the mean and number of its visits' values; a vector's prediction is joined to its held visits."""
+    c = (cases(s, d) if rows is None else rows).withColumn("y", value).where("y is not null").select("vec_id", "y", "held")
+    e = emb(s, d).select("vec_id", "embedding")
+    per = c.where("not held").groupBy("vec_id").agg(F.count(F.lit(1)).cast("double").alias("w"), F.avg("y").alias("y"))
+    model = P.ridge(P.features(e.join(stored(per, "means"), "vec_id")), "y", weight="w")
+    said = model.transform(P.features(e)).select("vec_id", "prediction")
+    return P.regression_metrics(c.where("held").join(said, "vec_id"), "y").select("n", r("r2", 3).alias("r2"), r("mae", 3).alias("mae"), r("median_error", 3).alias("median_error"))
 
 
-def h02(s, d):
-    return probe(s, d, F.log1p(F.col("los").cast("double")))
+def h02(s, d, rows=None):
+    return probe(s, d, F.log1p(F.col("los").cast("double")), rows)
 
 
-def h03(s, d):
-    return probe(s, d, F.log1p("bill"))
+def h03(s, d, rows=None):
+    return probe(s, d, F.log1p("bill"), rows)
 
 
 def h04(s, d):
-    c = P.features(cases(s, d).withColumn("y", (F.col("denied") > 0).cast("double")))
-    model = P.logistic(c.where("not held"), "y", 0.01)
-    held = P.positive(model.transform(c.where("held")))
-    return P.roc_auc(held, "y").crossJoin(P.average_precision(held, "y")).select(r("auc", 3).alias("auc"), r("average_precision", 3).alias("average_precision"))
+    c = cases(s, d).groupBy("vec_id", "held", (F.col("denied") > 0).cast("double").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    c = stored(c, "counts")
+    e = emb(s, d).select("vec_id", "embedding")
+    model = P.logistic(P.features(e.join(c.where("not held"), "vec_id")), "y", 0.01, "n")
+    said = P.positive(model.transform(P.features(e))).select("vec_id", "score")
+    held = stored(c.where("held").join(said, "vec_id"), "held")
+    return P.roc_auc(held, "y", count="n").crossJoin(P.average_precision(held, "y", count="n")).select(r("auc", 3).alias("auc"), r("average_precision", 3).alias("average_precision"))
 
 
 def h05(s, d):
@@ -59,15 +68,14 @@ def h05(s, d):
 
 def h06(s, d):
     """All probes as one table."""
-    parts = [(name, f(s, d)) for name, f in (("stay", h02), ("bill", h03))]
+    c = cases(s, d)
+    parts = [(name, f(s, d, c)) for name, f in (("stay", h02), ("bill", h03))]
     return parts[0][1].withColumn("probe", F.lit(parts[0][0])).unionByName(parts[1][1].withColumn("probe", F.lit(parts[1][0])))
 
 
 def h07(s, d):
     """The probe of one site's visits."""
-    c = P.features(cases(s, d).where("site < 5").withColumn("y", F.log1p("bill")).where("y is not null"))
-    model = P.ridge(c.where("not held"), "y")
-    return P.regression_metrics(model.transform(c.where("held")), "y").select("n", r("mae", 3).alias("mae"))
+    return probe(s, d, F.log1p("bill"), cases(s, d).where("site < 5")).select("n", "mae")
 
 
 def h08(s, d):
