@@ -104,8 +104,10 @@ def l01(s, d):
     more.column("my_double", "double", lambda x: pc.multiply(x, 2.0))
     more.aggregate("my_span", "double", lambda x: float(x.max() - x.min()))
     more.table("my_letters", "part string", Letters)
+    # the table function sees each distinct text once
     return s.sql(
-        "SELECT part, round(my_span(x), 4) AS span FROM (SELECT c_mktsegment, my_double(c_acctbal) AS x FROM {c}) t, LATERAL my_letters(c_mktsegment, 4) GROUP BY part",
+        "SELECT part, round(my_span(x), 4) AS span FROM (SELECT c_mktsegment AS m, my_double(c_acctbal) AS x FROM {c}) t "
+        "JOIN (SELECT d.m AS k, part FROM (SELECT DISTINCT c_mktsegment AS m FROM {c}) d, LATERAL my_letters(d.m, 4)) l ON t.m <=> l.k GROUP BY part",
         c=read(s, d, "customer"),
     )
 
