@@ -23,6 +23,16 @@ def in_order() -> WindowSpec:
     return Window.partitionBy("id").orderBy("ts", "tie")
 
 
+#: Events of a task, about.
+TASK_ROWS = 50_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` partitioned by id in as many parts as its events need: windows and groups by id that follow stay in them, and a task's memory doesn't
+    grow with the table (adaptive execution joins small partitions by their compressed size, which says little about what a chain of sorts holds)."""
+    return df.repartition(max(1, -(-df.count() // TASK_ROWS)), "id")
+
+
 def from_table(df: DataFrame, columns: dict[str, str], tie: str | None = None) -> DataFrame:
     """A table as sequences: ``columns`` maps id, ts, embedding and perhaps modality to names; a missing one raises ``ValueError``."""
     missing = [v for k, v in columns.items() if v not in df.columns] + [k for k in ("id", "ts", "embedding") if k not in columns]

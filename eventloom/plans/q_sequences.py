@@ -99,13 +99,13 @@ def pairs_in_order(spark: SparkSession, sf: str) -> DataFrame:
 
 def b17(spark: SparkSession, sf: str) -> DataFrame:
     """prediction error + 0.1 * sum over levels of 1/levels * mean squared length of the level's aggregates."""
-    levels_ = S.multilevel(sequences(spark, sf), 2, S.Config(2))
+    levels_ = S.multilevel(S.spread(sequences(spark, sf)), 2, S.Config(2))
     reg = levels_.groupBy("level").agg(F.avg(V.dot("embedding", "embedding", 2)).alias("r")).agg(F.avg("r").alias("r"))
     return pairs_in_order(spark, sf).agg(F.avg(F.pow(V.euclidean("predicted", "actual", 2), 2.0) / 2).alias("p")).crossJoin(F.broadcast(reg)).select(F.round(F.col("p") + 0.1 * F.col("r"), 4).alias("loss"))
 
 
 def b20(spark: SparkSession, sf: str) -> DataFrame:
-    p = S.process(sequences(spark, sf), 2, S.Config(1), 2)
+    p = S.process(S.spread(sequences(spark, sf)), 2, S.Config(1), 2)
     return p.select("id", *[F.round(F.col("representation")[i], 6).alias(f"r{i}") for i in range(2)], F.array_join("patterns", ",").alias("patterns"), *[F.round(F.col("predictions")[s][i], 6).alias(f"p{s}{i}") for s in range(2) for i in range(2)])
 
 
@@ -129,9 +129,9 @@ QUERIES = {
     "b01_decay_mean": lambda s, d: long(S.weighted_aggregate(sequences(s, d), 2), "id"),
     "b02_adaptive_windows": lambda s, d: S.adaptive_windows(sequences(s, d)).select(F.col("tie").alias("event_id"), F.col("window").cast("long").alias("win")),
     "b03_fixed_windows": lambda s, d: S.fixed_windows(sequences(s, d)).select(F.col("tie").alias("event_id"), F.col("window").cast("long").alias("win")),
-    "b04_multilevel": lambda s, d: long(S.multilevel(sequences(s, d), 2, S.Config(2)), "id", "level"),
-    "b05_representation": lambda s, d: long(S.representation(sequences(s, d), 2, S.Config(2)), "id"),
-    "b06_fuse_levels": lambda s, d: long(S.fuse(S.multilevel(sequences(s, d), 2, S.Config(2)), 2), "id"),
+    "b04_multilevel": lambda s, d: long(S.multilevel(S.spread(sequences(s, d)), 2, S.Config(2)), "id", "level"),
+    "b05_representation": lambda s, d: long(S.representation(S.spread(sequences(s, d)), 2, S.Config(2)), "id"),
+    "b06_fuse_levels": lambda s, d: long(S.fuse(S.multilevel(S.spread(sequences(s, d)), 2, S.Config(2)), 2), "id"),
     "b07_modality_config": lambda s, d: b07(s, d).withColumn("window", F.col("window").cast("long")).withColumnRenamed("window", "win"),
     "b08_modality_offset": lambda s, d: long(S.representation(first_modality(s, d), 2, S.Config(1, modality_aware=True, offsets=OFFSETS)), "id"),
     "b09_salient_dimensions": b09,
