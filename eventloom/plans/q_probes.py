@@ -15,6 +15,11 @@ SPLIT = "(('0x' || substr(md5('42:' || {k}), 1, 8))::BIGINT / 4294967296.0::DOUB
 
 
 def cases(s: SparkSession, d: str) -> DataFrame:
+    """The rows of ``case_rows`` with their vectors."""
+    return case_rows(s, d).join(emb(s, d).drop("label"), "vec_id")
+
+
+def case_rows(s: SparkSession, d: str) -> DataFrame:
     """Closed visits that have a vector: an order has the embedding of its key modulo their number. Stored without the vectors, as these repeat."""
     e = emb(s, d)
     n = e.agg(F.count(F.lit(1)).alias("_n"))
@@ -34,7 +39,7 @@ def h01(s, d):
 
 def probe(s, d, value, rows: DataFrame | None = None) -> DataFrame:
     """The fit sees each vector once, with the mean and number of its visits' values; a vector's prediction is joined to its held visits."""
-    c = (cases(s, d) if rows is None else rows).withColumn("y", value).where("y is not null").select("vec_id", "y", "held")
+    c = (case_rows(s, d) if rows is None else rows).withColumn("y", value).where("y is not null").select("vec_id", "y", "held")
     e = emb(s, d).select("vec_id", "embedding")
     per = c.where("not held").groupBy("vec_id").agg(F.count(F.lit(1)).cast("double").alias("w"), F.avg("y").alias("y"))
     model = P.ridge(P.features(e.join(stored(per, "means"), "vec_id")), "y", weight="w")
@@ -51,7 +56,7 @@ def h03(s, d, rows=None):
 
 
 def h04(s, d):
-    c = cases(s, d).groupBy("vec_id", "held", (F.col("denied") > 0).cast("double").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    c = case_rows(s, d).groupBy("vec_id", "held", (F.col("denied") > 0).cast("double").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     c = stored(c, "counts")
     e = emb(s, d).select("vec_id", "embedding")
     model = P.logistic(P.features(e.join(c.where("not held"), "vec_id")), "y", 0.01, "n")
@@ -68,14 +73,14 @@ def h05(s, d):
 
 def h06(s, d):
     """All probes as one table."""
-    c = cases(s, d)
+    c = case_rows(s, d)
     parts = [(name, f(s, d, c)) for name, f in (("stay", h02), ("bill", h03))]
     return parts[0][1].withColumn("probe", F.lit(parts[0][0])).unionByName(parts[1][1].withColumn("probe", F.lit(parts[1][0])))
 
 
 def h07(s, d):
     """The probe of one site's visits."""
-    return probe(s, d, F.log1p("bill"), cases(s, d).where("site < 5")).select("n", "mae")
+    return probe(s, d, F.log1p("bill"), case_rows(s, d).where("site < 5")).select("n", "mae")
 
 
 def h08(s, d):
